@@ -40,11 +40,15 @@ def market_feed(ticks: DataFrame, requests: DataFrame) -> DataFrame:
     return ticks.join(requests, "symbol").filter(hit)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Counts and sums by event-time window; rows later than the watermark are dropped in a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length, slide or length).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
+    return _timed(events, late).groupBy(F.window("ts", length, slide or length).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour", by: str = "user_id") -> DataFrame:
     """Sessions of one user, closed by a gap."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
