@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, license_scan, mixing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,20 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark, sf_dir):
+    """Secrets in every text, by kind and place."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Groups of equal texts and the row of each that stays."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_exact_dedup)}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+def op8_license_scan(spark, sf_dir):
+    """License phrases and notices in every text."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_secret_scan, op7_exact_dedup, op8_license_scan)}
+ORACLES = {"op5_secret_scan": secret_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op8_license_scan": license_scan.oracle()}
