@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, license_scan, mixing, secret_scan
+from tidemark.llm import exact_dedup, license_scan, mixing, packing, secret_scan, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +17,21 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark, sf_dir):
+    """The five nearest rows of every fiftieth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_secret_scan(spark, sf_dir):
     """Secrets in every text, by kind and place."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    """Fingerprints and their components."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Groups of equal texts and the row of each that stays."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -31,5 +42,10 @@ def op8_license_scan(spark, sf_dir):
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op5_secret_scan, op7_exact_dedup, op8_license_scan)}
-ORACLES = {"op5_secret_scan": secret_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op8_license_scan": license_scan.oracle()}
+def op9_packing(spark, sf_dir):
+    """All documents in sequences of 2048 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_top_k, op5_secret_scan, op6_simhash, op7_exact_dedup, op8_license_scan, op9_packing)}
+ORACLES = {"op2_top_k": topk.ORACLE, "op5_secret_scan": secret_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op8_license_scan": license_scan.oracle()}
