@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, license_scan, mixing, packing, secret_scan, simhash, topk
+from tidemark.llm import exact_dedup, license_scan, mixing, packing, secret_scan, simhash, substring, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op2_top_k(spark, sf_dir):
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_substring(spark, sf_dir):
+    """What is left of each text without passages that occur earlier."""
+    return substring.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of every text."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark, sf_dir):
     """Secrets in every text, by kind and place."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
@@ -47,5 +57,5 @@ def op9_packing(spark, sf_dir):
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_top_k, op5_secret_scan, op6_simhash, op7_exact_dedup, op8_license_scan, op9_packing)}
-ORACLES = {"op2_top_k": topk.ORACLE, "op5_secret_scan": secret_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op8_license_scan": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_top_k, op3_substring, op4_toxicity, op5_secret_scan, op6_simhash, op7_exact_dedup, op8_license_scan, op9_packing)}
+ORACLES = {"op2_top_k": topk.ORACLE, "op3_substring": substring.ORACLE, "op5_secret_scan": secret_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op8_license_scan": license_scan.oracle()}
