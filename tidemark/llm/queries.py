@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, license_scan, mixing, packing, secret_scan, simhash, substring, topk, toxicity
+from tidemark.llm import exact_dedup, license_scan, mixing, packing, pii, secret_scan, simhash, substring, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,10 @@ def op9_packing(spark, sf_dir):
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_top_k, op3_substring, op4_toxicity, op5_secret_scan, op6_simhash, op7_exact_dedup, op8_license_scan, op9_packing)}
+def op10_pii(spark, sf_dir):
+    """Every text with surrogates for its entities."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_top_k, op3_substring, op4_toxicity, op5_secret_scan, op6_simhash, op7_exact_dedup, op8_license_scan, op9_packing, op10_pii)}
 ORACLES = {"op2_top_k": topk.ORACLE, "op3_substring": substring.ORACLE, "op5_secret_scan": secret_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op8_license_scan": license_scan.oracle()}
