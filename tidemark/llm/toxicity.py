@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 WORDS, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 16, 16, 12
 GRAMS, VOCABULARY = 1 << 13, 20_000
-CACHE, BLOCK = 300_000, 4096
+CACHE, BLOCK = 300_000, 1024
 #: The sample to learn from: so many rows of each label at most, by hash, and of texts of at most so many characters.
-SAMPLE = {1: 1200, 0: 2400}
-SAMPLE_CHARS = 20_000
+SAMPLE = {1: 1000, 0: 2000}
+SAMPLE_CHARS = 10_000
 EPOCHS, STEPS, BATCH, RATE = 8, 250, 64, 0.01  # passes over the sample: EPOCHS, or more where they make fewer than STEPS
 THRESHOLD = 0.3
 FIND = re.compile(r"\w+").findall
@@ -133,36 +133,45 @@ def _sum_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int | None = None) -> Network:
     """Fit a network to texts and labels. Without rows of both labels it scores by its starting bias alone."""
-    docs = [FIND(t.lower()) for t in texts]
+    number: dict[str, int] = {}  # words of the sample from 1 on; 0 pads
+    docs = [array("I", (number.setdefault(w, len(number) + 1) for w in FIND(t.lower()))) for t in texts]
     epochs = epochs or max(EPOCHS, min(5 * EPOCHS, -(-STEPS * BATCH // max(1, len(docs)))))
-    counts = Counter(w for d in docs for w in d)
-    vocab = {w: i + 1 for i, (w, _) in enumerate(sorted(((w, c) for w, c in counts.items() if c > 1), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
+    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.asarray, docs)]).astype(np.int64), minlength=len(number) + 1)
+    words = list(number)
+    often = sorted(np.flatnonzero(counts[1:] > 1).tolist(), key=lambda k: (-counts[k + 1], words[k]))[:VOCABULARY]
+    vocab = {words[k]: i + 1 for i, k in enumerate(often)}
     net = Network.new(vocab, seed)
     if len(set(labels)) < 2:
         net.p["out"][:] = 0
         return net
-    words = sorted(counts)
-    number = {w: i + 1 for i, w in enumerate(words)}  # 0 pads
-    known = np.array([0, *(vocab.get(w, 0) for w in words)])
-    gs = [[0], *map(grams, words)]
-    g_count = np.array([len(g) for g in gs], np.float32)
-    g_ids, g_first = np.concatenate([np.array(g) for g in gs]), np.concatenate(([0], np.cumsum([len(g) for g in gs])))
-    rows, owner = [], []
-    for k, d in enumerate(docs):
-        ids = [number[w] for w in d]
-        for s in windows(len(ids)):
-            part = ids[s : s + WORDS]
-            rows.append(part + [0] * (WORDS - len(part)))
-            owner.append(k)
-    rows, owner, y = np.array(rows, np.int32), np.array(owner), np.array(labels, np.float32)
+    known = np.array([0, *(vocab.get(w, 0) for w in words)], np.int32)
+    flat_grams, sizes = array("H", [0]), array("H", [1])
+    for w in words:
+        flat_grams.extend(g := grams(w))
+        sizes.append(len(g))
+    g_ids, g_count = np.asarray(flat_grams), np.asarray(sizes).astype(np.float32)
+    g_first = np.concatenate(([0], np.cumsum(np.asarray(sizes), dtype=np.int64)))
+    del number, words
+    owner = np.repeat(np.arange(len(docs)), [len(windows(len(d))) for d in docs])
+    rows, at = np.zeros((len(owner), WORDS), np.int32), 0
+    for d in docs:
+        for s in windows(len(d)):
+            part = d[s : s + WORDS]
+            rows[at, : len(part)] = part
+            at += 1
+    y = np.array(labels, np.float32)
     first = np.searchsorted(owner, np.arange(len(docs) + 1))
     r, p = np.random.default_rng(seed), net.p
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     weight, step = max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()) / 2), 0
     for epoch in range(epochs):
-        x = np.concatenate([p["word"][known], _mean_grams(p, g_ids, g_count)], axis=1)
-        table = {way: x @ p[f"W{way}"] + p[f"c{way}"] for way in "fb"}
+        table = {way: np.empty((len(known), 3 * HIDDEN), np.float32) for way in "fb"}
+        for i in range(0, len(known), BLOCK):  # a part of the words at a time
+            x = np.concatenate([p["word"][known[i : i + BLOCK]], _mean_grams(p, g_ids[g_first[i] : g_first[min(i + BLOCK, len(known))]], g_count[i : i + BLOCK])], axis=1)
+            for way in "fb":
+                table[way][i : i + BLOCK] = x @ p[f"W{way}"] + p[f"c{way}"]
         logit = np.concatenate([_logits(p, table, rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)])
+        del table
         best = np.array([first[k] + (logit[first[k] : first[k + 1]].argmax() if epoch else r.integers(first[k + 1] - first[k])) for k in range(len(docs))])
         if not epoch:  # no window is known yet: start with several of each text
             best = np.concatenate([np.arange(first[k], first[k + 1])[:4] for k in range(len(docs))])
@@ -280,7 +289,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn) -> list:
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     texts = docs.select("doc_id", "text").filter(F.char_length("text").between(1, SAMPLE_CHARS))
     rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").dropDuplicates(["doc_id"])
-    return sorted(rows.collect(), key=lambda r: r.doc_id)
+    return sorted(((r.doc_id, r.text, r["_toxic"]) for r in rows.toLocalIterator()))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -297,7 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = sample(docs, labels, ~held_out())
-    sent, key = spark.sparkContext.broadcast(train([r.text for r in rows], [r["_toxic"] for r in rows])), uuid.uuid4().hex
+    sent, key = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows])), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scorer(key, sent.value).scores
@@ -313,7 +322,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns; each row is judged by itself, in the task that reads it."""
     spark = docs.sparkSession
     rows = sample(docs, labels, ~held_out())
-    sent, key = spark.sparkContext.broadcast(train([r.text for r in rows], [r["_toxic"] for r in rows])), uuid.uuid4().hex
+    sent, key = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows])), uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
