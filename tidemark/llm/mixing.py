@@ -1,15 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding. DataFrame functions only.
 
-Each document gets target / source_size expected copies; its fraction is a
-probability, and probability times size is a mass of words. Two open documents
-are paired, larger first: the larger takes the mass it lacks from the smaller or gives
-it what it has, at random so that its expectation holds, and so becomes integral.
-The mass of a source is kept in every step. A document that was
-given more than it can hold, or owes more than it has, becomes integral without a
-choice and passes the rest on. Documents are dealt to small buckets of like size,
-each bucket is folded to one open document, and the open ones are folded on in a
-tree of fixed fan-in until each class of size has one, and then each source: one of
-its smallest, which bounds the distance to the target.
+Each document gets target / source_size expected copies; its fraction is a probability. Documents are dealt to small
+buckets of like size. In a bucket two open documents are paired and probability moves between them at random, so that
+expectations hold, until one is integral; the bucket's last open one goes on in a tree of fixed fan-in, until each
+class of size has one. Then the classes of a source are folded, larger first: the larger takes the mass of words that it lacks
+from the smaller or gives it what it has, at random, and so becomes integral; one that was given more than it
+can hold, or owes more than it has, passes the rest on. So the words of a source are kept up to one of its smallest
+documents and the small differences inside the classes.
 """
 
 from __future__ import annotations
@@ -43,17 +40,23 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("price") * F.col("weight")).alias("target"))
 
 
-def fold(units: str, seed: int) -> str:
-    """SQL that folds an array of open units, largest first: struct(carry, done)."""
-    a = "acc.carry"
-    up = f"(shiftrightunsigned(xxhash64({seed}L, {a}.doc_id, {a}.size, x.doc_id, x.size), 11) / 9007199254740992D < {a}.p)"  # sure at p >= 1, never at p <= 0
-    took = f"if({up}, 1L, 0L)"
-    opened = f"named_struct('doc_id', x.doc_id, 'size', x.size, 'whole', x.whole, 'p', x.p + ({a}.p - {took}) * {a}.size / x.size)"
-    closed = f"named_struct('doc_id', {a}.doc_id, 'size', {a}.size, 'copies', {a}.whole + {took})"
+def fold(units: str, seed: int, by_words: bool) -> str:
+    """SQL that folds an array of open units in order: struct(carry, done). By words, the carried unit is always closed and its mass
+    of words moves on; else probability moves between units of like size, and either may be closed, as in plain pivotal sampling."""
+    a, s = "acc.carry", "(acc.carry.p + x.p)"
+    u = f"(shiftrightunsigned(xxhash64({seed}L, {a}.doc_id, {a}.size, x.doc_id, x.size), 11) / 9007199254740992D)"
+    took = f"if({u} < {a}.p, 1L, 0L)" if by_words else f"if({s} < 1D, 0L, 1L)"  # by words: sure at p >= 1, never at p <= 0
+    opened = lambda y, p: f"named_struct('doc_id', {y}.doc_id, 'size', {y}.size, 'whole', {y}.whole, 'p', {p})"
+    closed = lambda y: f"named_struct('doc_id', {y}.doc_id, 'size', {y}.size, 'copies', {y}.whole + {took})"
+    step = lambda o, p, c: f"named_struct('carry', {opened(o, p)}, 'done', concat(acc.done, array({closed(c)})))"
+    if by_words:
+        move = step("x", f"x.p + ({a}.p - {took}) * {a}.size / x.size", a)
+    else:
+        rest = f"{s} - {took}"
+        move = f"CASE WHEN if({s} < 1D, {u} * {s} >= {a}.p, {u} * (2D - {s}) < 1D - x.p) THEN {step('x', rest, a)} ELSE {step(a, rest, 'x')} END"
     kind = f"struct<carry: {UNIT}, done: array<{DONE}>>"
-    step = f"CASE WHEN {a} IS NULL THEN named_struct('carry', x, 'done', acc.done) ELSE named_struct('carry', {opened}, 'done', concat(acc.done, array({closed}))) END"
     zero = f"named_struct('carry', cast(null AS {UNIT}), 'done', cast(array() AS array<{DONE}>))"
-    return f"aggregate({units}, cast({zero} AS {kind}), (acc, x) -> cast({step} AS {kind}))"
+    return f"aggregate({units}, cast({zero} AS {kind}), (acc, x) -> cast(CASE WHEN {a} IS NULL THEN named_struct('carry', x, 'done', acc.done) ELSE {move} END AS {kind}))"
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 1) -> DataFrame:
@@ -80,7 +83,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 1) -> Dat
     while True:  # the cuts of each class in a tree, and at last the classes of each source: one open document each
         order = F.struct((-F.col("carry.size")).alias("size"), "below", F.col("carry.doc_id").alias("doc_id"), "carry")
         folded = level.groupBy(*(["source"] if last else ["source", "cls", "cut"])).agg(F.sort_array(F.collect_list(order)).alias("units"))
-        folded = folded.withColumn("f", F.expr(fold(f"transform(units, u -> cast(u.carry AS {UNIT}))", seed + k)))
+        folded = folded.withColumn("f", F.expr(fold(f"transform(units, u -> cast(u.carry AS {UNIT}))", seed + k, by_words=last)))
         folded = saved(folded.select(*[c for c in folded.columns if c not in ("units", "f")], "f.carry", "f.done"), f"mix-level{k}")
         done.append(folded.select("source", F.explode("done").alias("d")).select("source", "d.doc_id", "d.size", "d.copies"))
         if last:
