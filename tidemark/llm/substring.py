@@ -90,24 +90,33 @@ def emit_contexts(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Ite
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         out: list[list] = [[] for _ in range(7)]
-        for did, tkey, z, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        hits = b.column(3)
+        ends, fields = hits.offsets.to_numpy(), hits.values
+        every_p, every_parts = fields.field("p").to_numpy(), fields.field("parts").to_numpy()
+        for i, (did, tkey, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
             words = unpack(z).split()
             g, at = seeds(words, window, k)
-            for hit in hits:
-                p, parts = hit["p"], hit["parts"]
-                first, last = np.searchsorted(at, (p, p + 1))
-                if first < last:
-                    part = xxhash.xxh32_intdigest(b"%d:%d" % (did, p)) % parts if parts > 1 else 0
-                    for col, v in zip(out, (int(g[p : p + 1].view(np.int64)[0]), part, parts, did, tkey, int(first), b" ".join(words[first : last - 1 + window])), strict=True):
-                        col.append(v)
-            if len(out[0]) > ROWS:
-                yield _batch(CONTEXT, out)
+            p, parts = every_p[ends[i] : ends[i + 1]], every_parts[ends[i] : ends[i + 1]]
+            first, last = np.searchsorted(at, p), np.searchsorted(at, p, "right")
+            there = first < last
+            p, parts, first, last = p[there], parts[there], first[there], last[there]
+            part = np.array([xxhash.xxh32_intdigest(b"%d:%d" % (did, x)) % n if n > 1 else 0 for x, n in zip(p.tolist(), parts.tolist(), strict=True)], np.int64)
+            text = b" ".join(words)
+            stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # past the space after each word
+            begin = np.concatenate(([0], stop))[first]
+            cols = (g[p].view(np.int64), part, parts, np.full(len(p), did), np.full(len(p), tkey), first)
+            for col, v in zip(out, cols, strict=False):
+                col.append(v)
+            out[6] += [text[x:y] for x, y in zip(begin.tolist(), (stop[last - 2 + window] - 1).tolist(), strict=True)]
+            if len(out[6]) > ROWS:
+                yield _batch(CONTEXT, [*map(np.concatenate, out[:6]), out[6]])
                 out = [[] for _ in range(7)]
-        yield _batch(CONTEXT, out)
+        if out[6]:
+            yield _batch(CONTEXT, [*map(np.concatenate, out[:6]), out[6]])
 
 
-def deep_nodes(group: np.ndarray, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, node) of each window of the rows' words: windows of one group with equal words have one node."""
+def deep_nodes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, node) of each window of the rows' words: windows with equal words, which are of one seed, have one node."""
     lists = [t.split() for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     number: dict[bytes, int] = {}
@@ -116,24 +125,44 @@ def deep_nodes(group: np.ndarray, texts: list[bytes], window: int) -> tuple[np.n
     row = np.repeat(np.arange(len(lists)), np.maximum(sizes - window + 1, 0))
     offset = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(sizes - window + 1, 0)) - np.maximum(sizes - window + 1, 0), np.maximum(sizes - window + 1, 0))
     at = firsts[row] + offset
-    # ranks of all suffixes to depths 1, 2, 4, ...; those past the end of a row are never asked for
-    rank, depth, done, node = codes, 1, 0, group[row]
+    # ranks of all suffixes by their first 1, then some 4, then some 12 words, as many at once as a 64-bit number holds; suffixes
+    # cut off by the end of a row are never asked for
+    levels = [(1, codes, len(number))]
     while True:
-        if window & depth:
-            node = np.unique(node * (len(codes) + 1) + rank[at + done], return_inverse=True)[1]
-            done += depth
-        if done == window:
-            return row, offset, node
-        nxt = np.concatenate((rank[depth:], np.zeros(min(depth, len(rank)), np.int64)))
-        rank = np.unique(rank * (len(codes) + 1) + nxt, return_inverse=True)[1]
-        depth *= 2
+        depth, rank, ranks = levels[-1]
+        times = min(_times(ranks), window // depth)
+        if times < 2 or depth * times > window:
+            break
+        levels.append((depth * times, *_ranked(_together(rank, ranks, [np.concatenate((rank[d:], np.zeros(min(d, len(rank)), np.int64))) for d in range(depth, depth * times, depth)]))))
+    node, nodes, done = np.zeros(len(row), np.int64), 1, 0
+    for depth, rank, ranks in reversed(levels):  # the whole window, the largest steps first
+        while done + depth <= window:
+            if nodes * ranks >= 2**63:
+                node, nodes = _ranked(node)
+            node, nodes, done = node * ranks + rank[at + done], nodes * ranks, done + depth
+    return row, offset, _ranked(node)[0]
+
+
+def _times(ranks: int) -> int:
+    """How many ranks fit into 63 bits together."""
+    return 63 // max(1, (ranks - 1).bit_length())
+
+
+def _together(rank: np.ndarray, ranks: int, more: list[np.ndarray]) -> np.ndarray:
+    for x in more:
+        rank = rank * ranks + x
+    return rank
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each value among the distinct ones, and their number."""
+    distinct, rank = np.unique(values, return_inverse=True)
+    return rank, max(1, len(distinct))
 
 
 def judge(rows: dict[str, list], window: int, onward: bool) -> list[list]:
     """FOUND columns for whole groups: masks of the windows that occur earlier in their group, and the first windows of groups that are parts."""
-    keys: dict[tuple, int] = {}
-    group = np.array([keys.setdefault(x, len(keys)) for x in zip(rows["h"], rows["part"], strict=True)], np.int64)
-    row, offset, node = deep_nodes(group, rows["words"], window)
+    row, offset, node = deep_nodes(rows["words"], window)
     did, start = np.array(rows["did"], np.int64)[row], np.array(rows["start"], np.int64)[row] + offset
     order = np.lexsort((start, did, node))
     n, d, s = node[order], did[order], start[order]
@@ -145,12 +174,12 @@ def judge(rows: dict[str, list], window: int, onward: bool) -> list[list]:
     hit = np.flatnonzero(mask)
     out = [[rows[c][i] for i in hit] for c in ("did", "tkey", "start")] + [mask[hit].tolist(), [None] * len(hit), [None] * len(hit)]
     if onward:
-        for i in order[new]:
+        split = np.array(rows["parts"]) > 1
+        for i in order[new & split[row[order]]]:
             r, o = int(row[i]), int(offset[i])
-            if rows["parts"][r] > 1:
-                words = b" ".join(rows["words"][r].split()[o : o + window])
-                for col, v in zip(out, (rows["did"][r], rows["tkey"][r], rows["start"][r] + o, None, xxhash.xxh64_intdigest(words) - 2**63, words), strict=True):
-                    col.append(v)
+            words = b" ".join(rows["words"][r].split()[o : o + window])
+            for col, v in zip(out, (rows["did"][r], rows["tkey"][r], rows["start"][r] + o, None, xxhash.xxh64_intdigest(words) - 2**63, words), strict=True):
+                col.append(v)
     return out
 
 
@@ -177,19 +206,20 @@ def emit_kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         out: list[list] = [[], [], [], [], []]
-        for did, z, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        marks = b.column(2)
+        ends, fields = marks.offsets.to_numpy(), marks.values
+        every_start, every_mask = fields.field("start").to_numpy(), fields.field("mask").to_numpy()
+        for i, (did, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
             words = unpack(z).split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            for m in marks or ():
-                mask, i = m["mask"], m["start"]
-                while mask:
-                    low = (mask & -mask).bit_length() - 1
-                    gone[i + low] += 1
-                    gone[i + low + window] -= 1
-                    mask &= mask - 1
-            keep = np.cumsum(gone)[: len(words)] == 0
-            kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if marks else b" ".join(words)
-            for col, v in zip(out, (did, len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+            removed, kept = 0, words
+            if ends[i] < ends[i + 1]:
+                start, mask = every_start[ends[i] : ends[i + 1]], every_mask[ends[i] : ends[i + 1]]
+                r, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(mask, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                at, n = start[r] + bit, len(words)
+                keep = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1))[:n] == 0
+                kept, removed = [w for w, k in zip(words, keep.tolist(), strict=True) if k], int(n - keep.sum())
+            kept = b" ".join(kept)
+            for col, v in zip(out, (did, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
@@ -205,7 +235,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, limit: int = LIMIT)
     texts = docs.select(*key, "text")
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], ["did", "tkey", "z"])
 
