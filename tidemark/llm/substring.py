@@ -30,30 +30,48 @@ from tidemark.llm.common import saved
 WINDOW, K = 20, 5
 LIMIT = 256  # rows of a group that are dealt with at once
 ROWS = 20_000  # rows of many groups that are sorted together
-CACHE = 500_000
+CHUNK, LONG = 2**17, 2**16  # bytes hashed at once, and of the longest word that is hashed with others
 LAST = 2**63 - 1  # stands for a null id, which is later than any other
 CONTEXT = "h long, part int, parts int, did long, tkey long, start int, words binary"
 FOUND = "did long, tkey long, start int, mask long, h long, words binary"
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept for the next text."""
+def _powers(r: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(CHUNK + LONG, r, np.uint64))))
 
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[w] = v = xxhash.xxh64_intdigest(w)
-        return v
 
+_FACTOR = 0x9E3779B97F4A7C15
+_UP, _DOWN = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 2**64))
+_LETTER = np.random.default_rng(20).integers(1, 2**64, 256, np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
-_HASHES = Hashes()
 
+def cut(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of each word of the bytes."""
+    edges = np.flatnonzero(np.diff(_IS_SPACE[text], prepend=True, append=True))
+    return edges[::2], edges[1::2]
 
-def seeds(words: list[bytes], window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+
+def hashed(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes' random numbers, from running sums over a chunk of the text; very long words apart."""
+    out = np.zeros(len(starts), np.uint64)
+    for base in range(0, len(text), CHUNK):
+        lo, hi = np.searchsorted(starts, (base, base + CHUNK))
+        if lo < hi:
+            sums = np.zeros(min(int(ends[hi - 1]) - base, CHUNK + LONG) + 1, np.uint64)
+            np.cumsum(_LETTER[text[base : base + len(sums) - 1]] * _UP[: len(sums) - 1], out=sums[1:])
+            first = starts[lo:hi] - base
+            out[lo:hi] = (sums[np.minimum(ends[lo:hi] - base, len(sums) - 1)] - sums[first]) * _DOWN[first]
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def seeds(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the k-word run at each position, position of each window's seed)."""
-    if len(words) < window:
+    if len(starts) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = hashed(text, starts, ends)
     n = len(h) - k + 1
     g = np.zeros(n, np.uint64)
     for j in range(k):
@@ -76,8 +94,9 @@ def emit_seeds(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterat
     for b in batches:
         dids, tkeys, ps, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for did, tkey, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            g, at = seeds((text.as_py() or "").encode().split(), window, k)
-            p = np.unique(at)
+            data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+            g, at = seeds(data, *cut(data), window, k)
+            p = at[np.flatnonzero(np.diff(at, prepend=-1))]  # a window's seed is never before that of the window before
             dids.append(np.full(len(p), did))
             tkeys.append(np.full(len(p), tkey))
             ps.append(p.astype(np.int32))
@@ -94,20 +113,19 @@ def emit_contexts(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Ite
         ends, fields = hits.offsets.to_numpy(), hits.values
         every_p, every_parts = fields.field("p").to_numpy(), fields.field("parts").to_numpy()
         for i, (did, tkey, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            words = unpack(z).split()
-            g, at = seeds(words, window, k)
+            text = unpack(z)
+            data = np.frombuffer(text, np.uint8)
+            starts, ends_of = cut(data)
+            g, at = seeds(data, starts, ends_of, window, k)
             p, parts = every_p[ends[i] : ends[i + 1]], every_parts[ends[i] : ends[i + 1]]
             first, last = np.searchsorted(at, p), np.searchsorted(at, p, "right")
             there = first < last
             p, parts, first, last = p[there], parts[there], first[there], last[there]
             part = np.array([xxhash.xxh32_intdigest(b"%d:%d" % (did, x)) % n if n > 1 else 0 for x, n in zip(p.tolist(), parts.tolist(), strict=True)], np.int64)
-            text = b" ".join(words)
-            stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # past the space after each word
-            begin = np.concatenate(([0], stop))[first]
             cols = (g[p].view(np.int64), part, parts, np.full(len(p), did), np.full(len(p), tkey), first)
             for col, v in zip(out, cols, strict=False):
                 col.append(v)
-            out[6] += [text[x:y] for x, y in zip(begin.tolist(), (stop[last - 2 + window] - 1).tolist(), strict=True)]
+            out[6] += [text[x:y] for x, y in zip(starts[first].tolist(), ends_of[last - 2 + window].tolist(), strict=True)]
             if len(out[6]) > ROWS:
                 yield _batch(CONTEXT, [*map(np.concatenate, out[:6]), out[6]])
                 out = [[] for _ in range(7)]
