@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files deleted that no plan needs any more: Spark's cleaner waits for a collection on the driver, by default half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A saved table, marked for broadcast only if it was counted to have at most so many rows; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

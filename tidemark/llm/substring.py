@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import release, saved
 
 WINDOW, K = 20, 5
 LIMIT = 256  # rows of a group that are dealt with at once
@@ -266,6 +266,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, limit: int = LIMIT)
     one = packed.join(hits, ["did", "tkey"]).select("did", "tkey", "z", "hits")
     contexts = one.mapInArrow(lambda it: emit_contexts(it, window, k), CONTEXT)
     first = saved(contexts.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(lambda it: judge_groups(it, window, True), FOUND), "repeats")
+    release(docs.sparkSession)
     onward = first.filter("h is not null").select("h", F.lit(0).alias("part"), F.lit(1).alias("parts"), "did", "tkey", "start", "words")
     second = onward.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: judge_groups(it, window, False), FOUND)
     marks = first.filter("mask is not null").unionByName(second).groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
