@@ -7,9 +7,8 @@ next one reads it. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, simhash, toxicity
+from tidemark.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from tidemark.llm.common import saved
 
 
@@ -24,8 +23,8 @@ def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (0.8 of their 5-word shingles or more) stays: the one with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tests.compare import same
-from tidemark.llm import exact_dedup, license_scan, mixing, packing, pii, queries, secret_scan, simhash, substring, topk, toxicity
+from tidemark.llm import exact_dedup, license_scan, mixing, near_copies, packing, pii, queries, secret_scan, simhash, substring, topk, toxicity
 
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 ROWS = [
@@ -24,7 +24,7 @@ def docs(spark):
     return spark.createDataFrame([(i, t, s, "en", 0, "h") for i, t, s in ROWS], "doc_id long, text string, source string, norm string, size int, h string")
 
 
-OPERATORS = [mixing.mix, secret_scan.scan, license_scan.scan, simhash.near_duplicates, exact_dedup.exact_duplicates, packing.packed, substring.dedup, pii.pseudonymise]
+OPERATORS = [mixing.mix, secret_scan.scan, license_scan.scan, simhash.near_duplicates, exact_dedup.exact_duplicates, near_copies.near_copies, packing.packed, substring.dedup, pii.pseudonymise]
 
 
 @pytest.mark.parametrize("f", OPERATORS, ids=lambda f: f.__module__)
@@ -82,6 +82,42 @@ def test_fingerprints_by_counting(docs):
         assert simhash.fingerprint(t, 4) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def _components(rows, like):
+    """doc_id to the smallest one reachable, by all pairs."""
+    at = {i: i for i, _ in rows}
+    while True:
+        now = {i: min(at[j] for j, u in rows if i == j or like(t, u)) for i, t in rows}
+        if now == at:
+            return at
+        at = now
+
+
+def _jaccard(words):
+    def sets(t):
+        ws = (t or "").encode().lower().split()
+        return {tuple(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))}
+
+    return lambda t, u: len(sets(t) & sets(u)) >= 0.8 * len(sets(t) | sets(u))
+
+
+def test_near_copies_by_all_pairs(spark):
+    r = np.random.default_rng(9)
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (5, "one three"), (6, "x " * 3000), (7, "x " * 2000)]
+    for g in range(12):
+        base = r.choice([f"w{i}" for i in range(400)], 120).tolist()
+        for _ in range(8):
+            ws = list(base)
+            for at in r.choice(120, int(r.integers(0, 6)), replace=False):
+                ws[at] = f"n{r.integers(0, 10**6)}"
+            rows.append((100 + len(rows), " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _components(rows, _jaccard(5))
+    assert len(set(want.values())) < len(rows) - 20
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == want
+    kept = near_copies.keep_one(df.selectExpr("*", "1 as node", "'a' as key", "2 as fp"))
+    assert kept.columns == ["doc_id", "text", "node", "key", "fp"] and {x.doc_id for x in kept.collect()} == set(want.values())
+
+
 def test_top_k_ties_and_bad_rows(spark):
     rows = [(i, [float(i % 3), 1.0, -0.5]) for i in range(60)] + [(100, None), (150, [float("nan"), 1.0, 1.0]), (200, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (250, [9.9, -3.0, 0.25]), (251, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

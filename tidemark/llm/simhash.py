@@ -108,10 +108,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = saved(of.join(least, "component").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
-    """The document with the smallest id of each component, with the columns of docs."""
-    found = near_duplicates(docs, words, distance)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
