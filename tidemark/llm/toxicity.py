@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 WORDS, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 16, 16, 12
 GRAMS, VOCABULARY = 1 << 13, 20_000
-CACHE, BLOCK = 300_000, 1024
+CACHE, BLOCK = 100_000, 1024
 #: The sample to learn from: so many rows of each label at most, by hash, and of texts of at most so many characters.
 SAMPLE = {1: 1000, 0: 2000}
 SAMPLE_CHARS = 10_000
