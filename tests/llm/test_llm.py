@@ -149,6 +149,41 @@ def test_packing_by_tokenizers(docs):
     assert next(r for r in got if r.doc_id == 4).ids_crc32 == zlib.crc32(b"\0\0\0\0")
 
 
+def test_near_copies_of_a_template(spark):
+    """Edits of one text, many of them alike at some 0.6 to 0.9: hubs and the prefix join find the components of all pairs."""
+    r = np.random.default_rng(12)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for d in range(150):
+        ws = list(base)
+        for at in r.choice(120, r.integers(1, 9), replace=False):
+            ws[at] = f"e{d}x{at}"
+        rows.append((d, " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(near_copies.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert 1 < len(set(group)) < len(rows)
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == dict(enumerate(group))
+
+
+def test_prefix_join_by_all_pairs(spark):
+    """The prefix join alone finds every pair of different components at 0.8 or more."""
+    r = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 3, 12)) for _ in range(80)]
+    sets = {near_copies.node_of(s): s for s in (near_copies.shingle_set(t.encode(), 2) for t in texts)}
+    table = spark.createDataFrame([(k, [int(x) for x in v.view(np.int64)]) for k, v in sets.items()], "node long, shingles array<long>")
+    nodes, buckets = table.selectExpr("node", "cast(size(shingles) as long) as n"), table.selectExpr("1L as key", "node")
+    none = spark.createDataFrame([], "node long, component long")
+    found = near_copies.apart(near_copies.postings(buckets, nodes, table, none, 0.8), none, 0.8)
+    got = {(x.a, x.b) for x in near_copies.compared(found, table, 0.8).filter("alike").collect()}
+    of = {k: set(v.tolist()) for k, v in sets.items()}
+    assert got == {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])} and got
+
+
 def test_best_fit_keeps_all_capacities():
     lengths = np.array(sorted(np.random.default_rng(1).integers(1, 100, 300), reverse=True))
     for rule in ("norm", "dot"):

@@ -4,15 +4,16 @@ A SimHash of 64 bits can't do this alone: two texts with a similarity of 0.8 dif
 deletion variants for so many bits has segments too short to select anything. So pairs come from two indexes, the SimHash
 links of simhash.py and bands of least hashes, and each pair is then compared exactly, shingle by shingle.
 
-Texts with one shingle set are one node. A bucket's members are first compared to its least node, which unites nearly all that are like
-each other; then only in buckets that are still divided, nodes of different components are compared, if their sizes and their sketches (two bits of
-each least hash) allow it. So a large group of copies is not spread into pairs. A pair of similarity 0.8 shares a bucket with probability
-1 - (1 - 0.8**ROWS)**BANDS, 0.9996; its sketches differ by more than `SIGMAS` standard deviations over the expected with a probability of some 1e-5.
+Texts with one shingle set are one node. A bucket's members are first compared to its least node, which unites most that are like
+each other. Nodes of buckets that are still divided are then joined exactly, by a prefix filter: their shingles are ordered by rarity, two sets that
+are alike share one near the start, and its places bound how many more they can share. That too goes by turns: each node is compared to a few
+nodes, drawn at random, of each of its prefix shingles, and only nodes that are in different components after some turns meet in pairs. So a large group
+of copies is not spread into pairs, nor is one of texts that are somewhat alike. A pair of similarity 0.8 shares a bucket with probability
+1 - (1 - 0.8**ROWS)**BANDS, 0.9996; from there on nothing is left to chance.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from tidemark.llm.simhash import fingerprint, links
 from tidemark.llm.substring import cut, hashed
 
 BANDS, ROWS = 20, 5
-SIGMAS = 4.5
-LONGS = -(-BANDS * ROWS // 32)
+TURNS, HUBS = 3, 32  # turns in which nodes are compared to so many hubs of a shingle, before the rest meet
+EPS = 1e-9
 BLOCK = 4096  # shingles whose hashes are taken at once
 _SALT, _FACTOR = (np.random.default_rng(6).integers(0, 2**63, (2, BANDS * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)).reshape(2, 1, -1)
 
@@ -67,36 +68,21 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(rows[i].tobytes(), i)).view(np.int64)) for i in range(BANDS)]
 
 
-def sketch(least: np.ndarray) -> list[int]:
-    """Two bits of each least hash, 32 hashes to a number."""
-    two = np.zeros(32 * LONGS, np.uint64)
-    two[: len(least)] = least >> np.uint64(8) & np.uint64(3)
-    return (two.reshape(LONGS, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
-
-
-def differing(a: str, b: str) -> Column:
-    """How many hashes differ in the sketches of the aliases a and b."""
-    x = [F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i]) for i in range(LONGS)]
-    return sum((F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555))) for v in x), F.lit(0))
-
-
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, n (its shingles), fp (the SimHash), keys (of the bands) and sketch of each row."""
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node, n (its shingles), fp (the SimHash) and keys (of the bands) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, fps, keys, drawn = [], [], [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for text in b.column(1).to_pylist():
                 shingles = shingle_set((text or "").encode(), words)
                 nodes.append(node_of(shingles))
                 sizes.append(len(shingles))
                 fps.append(fingerprint(text, words))
-                least = least_hashes(shingles)
-                keys.append(band_keys(least))
-                drawn.append(sketch(least))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "node", "n", "fp", "keys", "sketch"])
+                keys.append(band_keys(least_hashes(shingles)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -128,8 +114,8 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 4, least: float
     smallest; a component of null ids alone has component_id null. Repeated rows repeat. An empty table gives no rows; columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    told = saved(sketches(docs, words), "sketches")
-    nodes = saved(told.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "copy-nodes")
+    told = saved(signed(docs, words), "signed")
+    nodes = saved(told.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-nodes")
     # buckets of several nodes: under a band's key, under one fingerprint, and under a fingerprint's link to another
     prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(prints.select("fp"), distance)
@@ -142,26 +128,82 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 4, least: float
     release(spark)
     heads = buckets.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     found = saved(compared(heads, sets, least).filter("alike").select("a", "b"), "alike")
-    more = compared(across(buckets, nodes, components(found), least), sets, least).filter("alike").select("a", "b")
-    joined = components(found.unionByName(saved(more, "alike-across")))
+    joined = united(buckets, nodes.select("node", "n"), sets, components(found), least)
     of = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     release(spark)
     return told.select("doc_id", "node").join(named, "node")
 
 
-def across(buckets: DataFrame, nodes: DataFrame, joined: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket that are in different components and of like size and sketch, each once."""
-    known = nodes.select("node", "n", "sketch").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = buckets.select("key", "node").join(known, "node")
+def united(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+    """The components (node, component) after all links between nodes of divided buckets are added to `joined`."""
+
+    def with_links(pairs: DataFrame, name: str) -> DataFrame | None:
+        more = saved(compared(pairs, sets, least).filter("alike").select("a", "b"), name)
+        return None if more.isEmpty() else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    posts = saved(postings(buckets, nodes, sets, joined, least), "postings")
+    for turn in range(TURNS):
+        now = with_links(to_hubs(posts, joined, turn, least), "alike-hubs")
+        if now is None:
+            break
+        joined = now
+    now = with_links(apart(posts, joined, least), "alike-apart")
+    return joined if now is None else now
+
+
+def placed(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """nodes with their component; a node without links is its own."""
+    return nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def postings(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+    """node, n, s and at: the shingles s in the prefix of each node of a divided bucket, and their places there.
+
+    Shingles are ordered by rarity among these nodes, those of one component alone first. Two sets with a similarity of `least` share a shingle of
+    their first n - ceil(least * n) + 1; shingles of one component alone can't be that one, and aren't told.
+    """
+    of = placed(buckets.select("key", "node"), joined)
     divided = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    of = saved(of.join(divided, "key", "left_semi"), "divided")
-    a, b = of.alias("a"), of.alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    on &= F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least)
-    mean = BANDS * ROWS * 0.75 * (1 - least)
-    on &= differing("a", "b") <= math.ceil(mean + SIGMAS * math.sqrt(mean * (1 - mean / (BANDS * ROWS))))
-    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    within = of.join(divided, "key", "left_semi").select("node", "component").distinct()
+    each = sets.join(within, "node").select("node", "component", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("component") < F.max("component")).alias("crosses"))
+    order = each.join(often, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("crosses", "df", "s"))).alias("order")).join(nodes, "node")
+    prefix = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(EPS)) + 1).cast("int"))
+    return order.select("node", "n", F.posexplode(prefix).alias("at", "x")).filter("x.crosses").select("node", "n", F.col("x.s").alias("s"), "at")
+
+
+def may_be_alike(least: float) -> Column:
+    """Whether the aliases a and b, of different components, may be alike if the shingle they meet at is the first they share."""
+    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least) - F.lit(EPS)
+    return (F.col("a.component") != F.col("b.component")) & sizes & (rest >= (F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - F.lit(EPS))
+
+
+def to_hubs(posts: DataFrame, joined: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of each node and up to HUBS hubs of each of its prefix shingles, drawn anew each turn: HUBS times the postings at most."""
+    of = placed(posts, joined)
+    central = F.col("at") * F.lit(1 + least) <= F.col("n") * F.lit(1 - least)  # few shingles of its own: it may be like others of its size
+    hub = F.struct("node", "n", "at", "component")
+    drawn = [F.max_by(hub, F.struct(central, F.xxhash64("node", "s", F.lit(turn * HUBS + i)))) for i in range(HUBS)]
+    hubs = of.groupBy("s").agg(F.array_distinct(F.array(*drawn)).alias("hubs"), F.min("component").alias("x"), F.max("component").alias("y"))
+    hubs = hubs.filter("x < y").select("s", F.inline("hubs"))
+    pairs = of.alias("a").join(hubs.alias("b"), (F.col("a.s") == F.col("b.s")) & may_be_alike(least))
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def apart(posts: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes that are still in different components and may be alike, each once.
+
+    Of each shingle, the nodes outside its largest component meet all of its nodes, so a group that has been united isn't met with itself.
+    """
+    of = placed(posts, joined)
+    counts = of.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("s", "main")
+    of = of.join(main, "s")
+    a, b = of.filter("component <> main").alias("a"), of.alias("b")
+    on = (F.col("a.s") == F.col("b.s")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & may_be_alike(least)
+    return a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def with_least(members: DataFrame) -> DataFrame:
