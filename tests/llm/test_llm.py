@@ -233,3 +233,29 @@ def test_pipeline_stages_keep_clean_documents(spark, small, docs):
         out = stage(spark, plain, small)
         assert out.columns == plain.columns and out.join(plain, "doc_id", "left_anti").isEmpty(), name
     assert hashlib.sha256(b"").hexdigest() == substring.dedup(docs.filter("doc_id = 4")).first().kept_sha256
+
+
+NOTICES = {
+    "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of it",
+    "gpl-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published",
+}
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped at 30 to 80 columns, plain or as comments, and all runs of words by brute force."""
+    import textwrap
+
+    plain = "\n".join(textwrap.wrap("the terms of use are subject to change and any person may copy this form " * 20, 60))
+    rows = [(name, f"{plain}\n{lead}" + f"\n{lead}".join(textwrap.wrap(t, width)) + f"\n{plain}") for name, t in NOTICES.items() for width in (30, 60, 70, 80) for lead in ("", "# ", " * ")]
+    rows += [("", plain), ("", f"copyright all\n{plain}\nrights reserved")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for i, (name, text) in enumerate(rows):
+        ws = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        share = {}
+        for label, t in license_scan.TEMPLATES:
+            of, n = set(t.split()), len(t.split())
+            share[label] = max(len(of & set(ws[s : s + n])) / len(of) for s in range(len(ws)))
+        runs = {label for label, x in share.items() if x >= 0.8}
+        assert set(filter(None, got[i].labels.split(","))) - {"gpl"} == runs and (name in runs or not name), (name, text)

@@ -1,6 +1,7 @@
 r"""License scans by an exact set-similarity join. DataFrame functions only.
 
-Blocks are lines. Both sides are sets of words in one order, by how many documents of
+Blocks are lines, and, as notices are wrapped, all runs of as many words as the template
+has, across line ends. Both sides are sets of words in one order, by how many documents of
 the whole corpus hold a word, rarest first. A block that holds the share t of a
 template's words must hold one of the template's first |T| - need + 1 words, need = ceil(t |T|);
 those are the index. Candidates pass the length filter (at least `need` words that any
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: What separates words, before and after A-Z become lower case.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+IN_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 # Base phrases with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Well-known license notices, as words in lower case.
@@ -51,7 +53,7 @@ def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
 
 
 def contained(templates: Sequence[tuple[str, str]], threshold: float, freq: dict[str, int]) -> str:
-    """SQL over `text`: array of struct(label, score) of the templates that some line holds to the threshold."""
+    """SQL over `text`: array of struct(label, score) of the templates that some line or run of words holds to the threshold."""
     vocabulary = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (freq.get(w, 0), w))
     at = {w: i for i, w in enumerate(vocabulary)}
     index: dict[str, list[tuple[int, int]]] = {}
@@ -59,14 +61,14 @@ def contained(templates: Sequence[tuple[str, str]], threshold: float, freq: dict
     for n, (label, text) in enumerate(templates):
         ws = sorted(set(text.split()), key=at.__getitem__)
         need = math.ceil(threshold * len(ws) - 1e-9)
-        rows.append(f"named_struct('label', {_S(label)}, 'words', array({', '.join(map(_S, ws))}), 'need', {need})")
+        rows.append(f"named_struct('label', {_S(label)}, 'words', array({', '.join(map(_S, ws))}), 'need', {need}, 'len', {len(text.split())})")
         for i, w in enumerate(ws[: len(ws) - need + 1]):
             index.setdefault(w, []).append((n, i))
     table = f"array({', '.join(rows)})"
     entry = lambda es: "array(" + ", ".join(f"named_struct('t', {n}, 'i', {i})" for n, i in es) + ")"
     probe = f"map({', '.join(f'{_S(w)}, {entry(es)}' for w, es in sorted(index.items(), key=lambda x: at[x[0]]))})"
     order = f"array({', '.join(map(_S, vocabulary))})"
-    gate = _S("(?i)" + "|".join(index))
+    gate = _S(rf"(?i)(?<!{IN_WORD})(?:{'|'.join(index)})(?!{IN_WORD})")  # whole words, so that few texts and lines pass
     block = f"array_intersect({order}, split(lower({words_of('l')}), ' '))"  # in the common order
     blocks = f"transform(filter(split(text, '\\n'), l -> rlike(l, {gate})), l -> {block})"
     # for each block: index entries of its words, filtered by length and position, then verified
@@ -74,10 +76,25 @@ def contained(templates: Sequence[tuple[str, str]], threshold: float, freq: dict
     positional = positional.replace("tab", table)
     hits = f"array_distinct(transform(filter(flatten(transform(b, (w, j) -> transform(coalesce(element_at({probe}, w), array()), e -> named_struct('t', e.t, 'i', e.i, 'j', j)))), e -> size(b) >= element_at({table}, e.t + 1).need AND {positional.replace(' j)', ' e.j)')}), e -> e.t))"
     scored = f"transform({hits}, t -> named_struct('label', element_at({table}, t + 1).label, 'n', size(array_intersect(element_at({table}, t + 1).words, b)), 'need', element_at({table}, t + 1).need, 'of', size(element_at({table}, t + 1).words)))"
-    found = f"flatten(transform({blocks}, b -> filter({scored}, x -> x.n >= x.need)))"
+    found = f"concat(flatten(transform({blocks}, b -> filter({scored}, x -> x.n >= x.need))), {runs(table, probe)})"
     return f"CASE WHEN rlike(text, {gate}) THEN transform({found}, x -> named_struct('label', x.label, 'score', cast(x.n AS double) / x.of)) ELSE cast(array() AS array<struct<label: string, score: double>>) END"
 
 
+def runs(table: str, probe: str) -> str:
+    """SQL over `text`: the templates that a run of words holds, each run as long as the template, wherever lines end.
+
+    Such a run has an index word. All runs around it that the template's length allows are first judged as one stretch.
+    """
+    t = f"element_at({table}, e.t + 1)"
+    start = f"greatest(1, p - {t}.len + 1)"
+    stretch = f"size(array_intersect({t}.words, slice(ws, {start}, p - {start} + {t}.len))) >= {t}.need"
+    best = f"array_max(transform(sequence({start}, p), s -> size(array_intersect({t}.words, slice(ws, s, {t}.len)))))"
+    near = f"transform(filter(element_at({probe}, element_at(ws, p)), e -> {stretch}), e -> named_struct('label', {t}.label, 'n', {best}, 'need', {t}.need, 'of', size({t}.words)))"
+    places = f"filter(transform(ws, (w, i) -> if(map_contains_key({probe}, w), i + 1, 0)), p -> p > 0)"
+    bound = f"array(split(lower({words_of('text')}), ' '))"  # evaluated once
+    return f"flatten(transform({bound}, ws -> filter(flatten(transform({places}, p -> {near})), x -> x.n >= x.need)))"
+
+
 def starts_of(phrase: str) -> str:
     """SQL over `words`: the numbers of the words at which the phrase stands, in order."""
     p = _S(rf"(?i)(?<![^\x20]){phrase}(?![^\x20])")
@@ -95,8 +112,8 @@ def starts_of(phrase: str) -> str:
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 for a base phrase, else the largest share of a template's words in one line that reaches the
-    threshold, else 0. Null and empty texts have no words. Each row is judged by itself, so null and repeated
+    score is 1 for a base phrase, else the largest share of a template's words in one line, or in a run of words as
+    long as the template, that reaches the threshold, else 0. Null and empty texts have no words. Each row is judged by itself, so null and repeated
     ids are rows like others. Columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -111,7 +128,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
 
 
 def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The same by comparing each line with each template, and each word position with each phrase."""
+    """The same by comparing each line with each template, and each word position with each phrase; it does not know runs over line ends."""
     split = r"string_split(trim(regexp_replace(regexp_replace(lower({}), '{}', ' ', 'g'), '\x20+', ' ', 'g')), ' ')"
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w = split.format("text", gap)
