@@ -259,3 +259,13 @@ def test_wrapped_notices(spark):
             share[label] = max(len(of & set(ws[s : s + n])) / len(of) for s in range(len(ws)))
         runs = {label for label, x in share.items() if x >= 0.8}
         assert set(filter(None, got[i].labels.split(","))) - {"gpl"} == runs and (name in runs or not name), (name, text)
+
+
+def test_given_names_stay_apart(spark):
+    for key in (pii.KEY, b"k"):
+        for names in pii.GIVEN.values():
+            outs = {n.lower(): pii.surrogate("given", n.lower(), key) for n in names}
+            assert set(outs.values()) == set(outs) and all(a != b for a, b in outs.items())
+    people = [f"{g} Keller" for names in pii.GIVEN.values() for g in names]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(people)), "doc_id long, text string")).collect()
+    assert len({r.text for r in got}) == len(people)

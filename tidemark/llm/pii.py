@@ -3,7 +3,8 @@
 A surrogate is made from an HMAC of the entity's canonical form, so one entity has one surrogate in the whole corpus,
 whatever its spelling in a place. The distinct entities are then held against each other: if two share a surrogate, or a
 surrogate is itself an entity of the corpus, all but the first get the next one, until none collide. The few that moved
-on are sent along with the texts; all others are made again where they are needed.
+on are sent along with the texts; all others are made again where they are needed. Given names are a fixed list: a keyed
+permutation of each gender's names, without fixed points, keeps them distinct, and needs no check.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hmac
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,8 +110,23 @@ def _letters(text: str, rnd: Stream) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=8)
+def given_names(key: bytes) -> dict[str, str]:
+    """Each given name's surrogate: one keyed cycle through all names of its gender, so all differ and none is itself."""
+    out = {}
+    for gender, names in GIVEN.items():
+        rnd, cycle = Stream(key, "given", gender), [n.lower() for n in names]
+        for i in range(len(cycle) - 1, 0, -1):
+            j = rnd.below(i + 1)
+            cycle[i], cycle[j] = cycle[j], cycle[i]
+        out |= dict(zip(cycle, cycle[1:] + cycle[:1], strict=True))
+    return out
+
+
 def surrogate(kind: str, canon: str, key: bytes = KEY, attempt: int = 0) -> str:
     """The canonical form of an entity's surrogate; never the entity itself."""
+    if kind == "given":
+        return given_names(key)[canon]
     rnd = Stream(key, kind, canon, attempt)
     while True:
         if kind == "email":
@@ -118,9 +135,6 @@ def surrogate(kind: str, canon: str, key: bytes = KEY, attempt: int = 0) -> str:
             out = f"{_letters(local, rnd)}@{_letters(host, Stream(key, 'domain', domain))}.{top}"  # a domain stays one domain
         elif kind == "ip":
             out = ".".join(str(1 + rnd.below(254)) for _ in range(4))
-        elif kind == "given":
-            names = GIVEN[GENDER[canon]]
-            out = names[rnd.below(len(names))].lower()
         elif kind == "iban":
             out = canon[:2] + _letters(canon[2:], rnd)
         elif kind in ("card", "phone", "ssn"):
@@ -173,7 +187,7 @@ def entities(texts: DataFrame) -> DataFrame:
 
 
 def collisions_resolved(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, canon, attempt, out: one surrogate per entity, all different and none an entity, for all but given names, which are few and shared by many people."""
+    """kind, canon, attempt, out: one surrogate per entity, all different and none an entity; given names are permuted among themselves, so they differ but are names of the list."""
 
     def made(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
