@@ -269,3 +269,10 @@ def test_given_names_stay_apart(spark):
     people = [f"{g} Keller" for names in pii.GIVEN.values() for g in names]
     got = pii.pseudonymise(spark.createDataFrame(list(enumerate(people)), "doc_id long, text string")).collect()
     assert len({r.text for r in got}) == len(people)
+
+
+def test_toxicity_reads_long_words_whole():
+    long = "ab" * 100
+    texts = [long + end for end in ("", "xyzxyz", "qqqwww")] + ["字" * 70 + "甲乙丙", "字" * 70 + "丁戊己"]
+    s = toxicity.Scorer(toxicity.train(["good words here", "bad vile words"] * 4, [0, 1] * 4)).scores(texts)
+    assert len(set(s.tolist())) == len(texts)

@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word comes in as its own vector, if the sample knows it, and as the mean of the vectors of its character
+A word is a run of at most 64 word characters; what is longer is cut into pieces. It comes in as its own vector, if the sample knows it, and as the mean of the vectors of its character
 n-grams. A text is cut into windows of 32 words that overlap by half; each window is read in both
 directions, the states are pooled by attention, and the text's score is its highest window's. In training too the highest
 window of a text answers for its label. All windows of every text are scored, in blocks of fixed size.
@@ -31,11 +31,20 @@ SAMPLE_CHARS = 10_000
 EPOCHS, STEPS, BATCH, RATE = 8, 250, 64, 0.01  # passes over the sample: EPOCHS, or more where they make fewer than STEPS
 THRESHOLD = 0.3
 FIND = re.compile(r"\w+").findall
+LONG = 64
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text. A run over LONG characters comes as pieces of so many, each with the last 4 of the one before, so that all n-grams are read."""
+    words = FIND(text)
+    if max(map(len, words), default=0) > LONG:
+        words = [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - 4), LONG - 4)]
+    return words
 
 
 def grams(word: str) -> list[int]:
     """Hashed character n-grams, 3 and 4 bytes long, of a word with its ends marked."""
-    raw = f"<{word[:64]}>".encode()
+    raw = f"<{word}>".encode()
     return [zlib.crc32(raw[i : i + n]) % GRAMS for n in (3, 4) for i in range(len(raw) - n + 1)] or [0]
 
 
@@ -134,7 +143,7 @@ def _sum_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int | None = None) -> Network:
     """Fit a network to texts and labels. Without rows of both labels it scores by its starting bias alone."""
     number: dict[str, int] = {}  # words of the sample from 1 on; 0 pads
-    docs = [array("I", (number.setdefault(w, len(number) + 1) for w in FIND(t.lower()))) for t in texts]
+    docs = [array("I", (number.setdefault(w, len(number) + 1) for w in words_of(t.lower()))) for t in texts]
     epochs = epochs or max(EPOCHS, min(5 * EPOCHS, -(-STEPS * BATCH // max(1, len(docs)))))
     counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.asarray, docs)]).astype(np.int64), minlength=len(number) + 1)
     words = list(number)
@@ -250,7 +259,7 @@ class Scorer:
         """Score of each text: its highest window's; 0 without words."""
         out = np.zeros(len(texts))
         for at in range(0, len(texts), 64):
-            ids = self.ids([FIND((t or "").lower()) for t in texts[at : at + 64]])
+            ids = self.ids([words_of((t or "").lower()) for t in texts[at : at + 64]])
             owner, starts = [], []
             for k, d in enumerate(ids):
                 w = windows(len(d)) if d else []
