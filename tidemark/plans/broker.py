@@ -51,13 +51,24 @@ sum(p_size * (CAST(round(p_retailprice * 100) AS BIGINT) - p_partkey % 100))::DO
 WHERE l_orderkey < 1000) JOIN part ON p_partkey = l_partkey GROUP BY c_nationkey)""")
 def market_watch(spark, d):
     """Percent change of the summed value of each nation's watch list (the distinct parts of its orders below key 1000)."""
+    return _watched(spark, d, trades(spark, d, "l_partkey").filter("l_orderkey < 1000"))
+
+
+def _watched(spark, d, held):
     owners = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    watch = trades(spark, d, "l_partkey").filter("l_orderkey < 1000").join(owners, "o_custkey").select("c_nationkey", "l_partkey").distinct()
+    watch = held.join(owners, "o_custkey").select("c_nationkey", "l_partkey").distinct()
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", cents("p_retailprice").alias("now"))
     out = watch.join(parts, "l_partkey").groupBy("c_nationkey").agg(F.sum(F.col("p_size") * F.col("now")).cast("double").alias("new"), F.sum(F.col("p_size") * (F.col("now") - F.col("l_partkey") % 100)).cast("double").alias("old"))
     return out.select("c_nationkey", F.round(pct_change(F.col("new"), F.col("old")), 6).alias("pct"))
 
 
+@query("""SELECT c_nationkey, round(CASE WHEN old <> 0 THEN 100 * (new / old - 1) ELSE 0 END, 6) AS pct FROM (SELECT c_nationkey, sum(p_size * CAST(round(p_retailprice * 100) AS BIGINT))::DOUBLE AS new,
+sum(p_size * (CAST(round(p_retailprice * 100) AS BIGINT) - p_partkey % 100))::DOUBLE AS old FROM (SELECT DISTINCT c_nationkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) JOIN part ON p_partkey = l_partkey GROUP BY c_nationkey)""")
+def market_watch_all(spark, d):
+    """The same for watch lists of all orders."""
+    return _watched(spark, d, trades(spark, d, "l_partkey"))
+
+
 BANDS = [(1, 10, 0.01), (11, 25, 0.008), (26, 50, 0.005)]
 BANDS_SQL = "(VALUES (1, 10, 0.01), (11, 25, 0.008), (26, 50, 0.005)) b(from_qty, to_qty, rate)"
 

@@ -85,10 +85,20 @@ def oldest_undelivered(spark, d):
 def new_order_pricing(spark, d):
     """New orders: each line's amount from the part's price, and each stock row rolled forward once by all its lines; a level
     that falls under 10 is refilled by 91 until it is in [10, 100]."""
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_suppkey", "l_partkey", "l_quantity")
+    return _pricing(spark, d, table(spark, d, "lineitem").filter("l_orderkey < 500"))
+
+
+def _pricing(spark, d, lines):
     prices = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     total = F.sum("l_quantity").cast("long")
-    return lines.join(prices, "l_partkey").groupBy("l_suppkey", "l_partkey").agg(total.alias("ordered"), F.count(F.lit(1)).alias("order_cnt"), F.sum(F.round(F.col("l_quantity") * F.col("p_retailprice") * 100).cast("long")).alias("amount_cents"), (F.pmod(F.lit(100) - total, F.lit(91)) + 10).alias("new_qty"))
+    return lines.select("l_suppkey", "l_partkey", "l_quantity").join(prices, "l_partkey").groupBy("l_suppkey", "l_partkey").agg(total.alias("ordered"), F.count(F.lit(1)).alias("order_cnt"), F.sum(F.round(F.col("l_quantity") * F.col("p_retailprice") * 100).cast("long")).alias("amount_cents"), (F.pmod(F.lit(100) - total, F.lit(91)) + 10).alias("new_qty"))
+
+
+@query("""SELECT l_suppkey, l_partkey, sum(l_quantity)::BIGINT AS ordered, count(*) AS order_cnt, sum(CAST(round(l_quantity * p_retailprice * 100) AS BIGINT))::BIGINT AS amount_cents,
+((100 - sum(l_quantity)::BIGINT) % 91 + 91) % 91 + 10 AS new_qty FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+def new_order_pricing_all(spark, d):
+    """The same over all orders."""
+    return _pricing(spark, d, table(spark, d, "lineitem"))
 
 
 @query("""SELECT c_custkey, c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) - paid AS balance_cents, paid, n, sum(paid) OVER (PARTITION BY c_nationkey)::BIGINT AS nation_ytd FROM customer JOIN
@@ -134,6 +144,13 @@ def hot_cold_except(spark, d):
     return table(spark, d, "part").select("p_partkey").join(hot, "p_partkey", "left_anti")
 
 
+@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)""")
+def hot_cold_except_all(spark, d):
+    """Parts that no line of 50 or more, of any order, holds."""
+    hot = table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").select("p_partkey").join(hot, "p_partkey", "left_anti")
+
+
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 3""")
 def last_orders(spark, d):
     return access.first_per(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 3, last=True)
