@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import sources
 from tidemark.operators import access, bands, lots, serial, versions
 from tidemark.streaming import feeds
 
@@ -29,17 +30,89 @@ def test_snapshots(log):
     assert versions.gc_keep(log, ["key"], 4).count() == 4
 
 
-def test_commit_checks(spark, log, tmp_path):
-    table = versions.VersionedTable(str(tmp_path / "log"), ["key"])
-    stage = lambda *rows: spark.createDataFrame(list(rows), "key string, value string, op string")
-    stage(("a", "1", "I"), ("b", "1", "I")).withColumn("commit_ts", F.lit(1).cast("long")).drop("commit_ts").write.parquet(str(tmp_path / "log/commit_ts=1"))
-    assert table.commit(spark, stage(("a", "2", "U")), 1, 2) == versions.Result.OK
-    assert table.commit(spark, stage(("a", "3", "U")), 1, 3) == versions.Result.SI_CONFLICT
-    assert table.commit(spark, stage(("b", "3", "I")), 2, 3) == versions.Result.DUPLICATE_KEY
-    assert table.commit(spark, stage(("x", "3", "U")), 2, 3) == versions.Result.MISSING_KEY
-    assert table.commit(spark, stage(("b", None, "D")), 2, 3) == versions.Result.OK
-    path = table.checkpoint(spark, str(tmp_path / "snap"), 2)
-    assert {r.key for r in table.recover(spark, path, 2).collect()} == {"a"}  # the delete counts
+def _staged(spark, *rows):
+    return spark.createDataFrame(list(rows), "key string, value string, op string")
+
+
+def _state(rows):
+    return {r.key: r.value for r in rows.collect()}
+
+
+def test_commit_checks(spark, tmp_path):
+    table = versions.VersionedTable(str(tmp_path / "log"), ["key"]).create(spark, "key string, value string")
+    R = versions.Result
+    assert table.watermark(spark) == 0 and table.size(spark) == 0
+    assert table.commit(spark, _staged(spark, ("a", "1", "I"), ("b", "1", "I")), 0) == R.OK  # the first commit of a new table
+    assert table.commit(spark, _staged(spark, ("a", "2", "U")), 1) == R.OK
+    assert table.commit(spark, _staged(spark, ("a", "3", "U")), 1) == R.SI_CONFLICT
+    assert table.commit(spark, _staged(spark, ("b", "3", "I")), 2) == R.DUPLICATE_KEY
+    assert table.commit(spark, _staged(spark, ("x", "3", "U")), 2) == R.MISSING_KEY
+    assert table.commit(spark, _staged(spark, ("n", "1", "I"), ("n", "2", "I")), 2) == R.DUPLICATE_KEY
+    assert table.commit(spark, _staged(spark, ("c", "1", "I")), 2, 2) == R.SI_CONFLICT  # the stamp is taken
+    assert table.commit(spark, _staged(spark, ("b", None, "D")), 2) == R.OK
+    assert _state(table.at(spark)) == {"a": "2"} and _state(table.at(spark, 1)) == {"a": "1", "b": "1"}
+    assert table.size(spark) == 1 and table.size(spark, deleted=True) == 2
+    snaps = str(tmp_path / "snap")
+    for ts in (1, 2, 3):
+        table.checkpoint(spark, snaps, ts)
+    assert sources.complete(spark, snaps, "snapshot_ts") == [2, 3]  # older ones are scavenged
+    for warm in ("none", "lazy", "eager"):
+        assert _state(table.recover(spark, snaps, 2, warm)) == {"a": "2"}  # the delete after the checkpoint counts
+    assert _state(table.recover(spark, snaps)) == {"a": "2"}
+    other = table.compact(spark, str(tmp_path / "small"), 2)
+    assert _state(other.at(spark, 2)) == {"a": "2", "b": "1"} and _state(other.at(spark)) == {"a": "2"} and other.log(spark).count() == 3
+    with pytest.raises(ValueError):
+        versions.VersionedTable(str(tmp_path / "log"), ["key"]).create(spark, "key string, value string")
+    table.clear(spark)
+    assert table.size(spark, deleted=True) == 0 and table.watermark(spark) == 0
+
+
+def test_lost_writers(spark, tmp_path):
+    """A claim keeps others away until the writer ends; a batch whose write has not ended is not read."""
+    table = versions.VersionedTable(str(tmp_path / "log"), ["key"]).create(spark, "key string, value string")
+    assert sources.claim(spark, table.path, 1) and not sources.claim(spark, table.path, 1)
+    _staged(spark, ("z", "9", "I")).write.parquet(f"{table.path}/commit_ts=1")
+    (tmp_path / "log/commit_ts=1/_SUCCESS").unlink()
+    assert table.size(spark) == 0 and table.commit(spark, _staged(spark, ("a", "1", "I")), 0) == versions.Result.SI_CONFLICT
+    table.repair(spark)
+    assert table.commit(spark, _staged(spark, ("a", "1", "I")), 0, 7) == versions.Result.OK and table.watermark(spark) == 7
+    assert table.commit(spark, _staged(spark, ("b", "1", "I")), 7) == versions.Result.OK and _state(table.at(spark)) == {"a": "1", "b": "1"}
+
+
+def test_transactions(spark, tmp_path):
+    R = versions.Result
+    table = versions.VersionedTable(str(tmp_path / "log"), ["key"], unique=[["value"]]).create(spark, "key string, value string")
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, value string")
+    t = table.begin(spark)
+    t.write(rows(("a", "1"), ("b", "2"), ("c", "3")), "I")
+    t.write(rows(("a", "9")), "U")
+    t.write(rows(("c", "3")), "D")  # made and deleted by one transaction
+    assert _state(t.read()) == {"a": "9", "b": "2"} and t.commit() == R.OK
+    assert _state(table.at(spark)) == {"a": "9", "b": "2"}
+    dup = table.begin(spark)
+    dup.write(rows(("d", "2")), "I")
+    assert dup.commit() == R.DUPLICATE_KEY  # the secondary key
+    one, two, three, four = (table.begin(spark) for _ in range(4))
+    assert one.scan(F.col("key") < "m").count() == 2 and three.scan(F.col("key") == "b").count() == 1
+    two.write(rows(("e", "5")), "I")
+    two.write(rows(("b", "6")), "U")
+    assert two.commit() == R.OK
+    one.write(rows(("x", "7")), "I")
+    three.write(rows(("y", "8")), "I")
+    four.write(rows(("w", "0")), "I")
+    assert one.commit() == R.PHANTOM and three.commit() == R.RW_CONFLICT and four.commit(certify=lambda: True) == R.SERIAL and four.abort() == R.USER
+    with pytest.raises(ValueError):
+        table.begin(spark, read_only=True).write(rows(("q", "q")), "I")
+    assert table.commit_group(spark, [_staged(spark, ("f", "10", "I")), _staged(spark, ("f", "11", "I")), _staged(spark, ("g", "12", "I")), _staged(spark, ("h", "10", "I"))], table.watermark(spark)) == [R.OK, R.SI_CONFLICT, R.OK, R.DUPLICATE_KEY]
+    tries = []
+
+    def run(random):
+        t = table.begin(spark, read_ts=1 if not tries else None)  # too old at first
+        tries.append(random.random())
+        t.write(rows(("b", "20")), "U")
+        return t.commit()
+
+    assert versions.with_retry(run) == R.OK and len(tries) == 2 and tries[0] == tries[1]
 
 
 def test_lots(spark):
