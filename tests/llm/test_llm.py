@@ -126,10 +126,30 @@ def test_top_k_ties_and_bad_rows(spark):
     assert {tuple(r) for r in topk.top_k(df, df["vec_id"] % 50 == 0).collect()} == want
 
 
-def test_substring_parts_of_a_large_group(docs, spark):
-    many = spark.createDataFrame([(i, f"w{i} {PASSAGE} v{i}") for i in range(40)], "doc_id long, text string")
-    whole, cut = ([tuple(r) for r in substring.dedup(many, limit=n).orderBy("doc_id").collect()] for n in (256, 4))
-    assert whole == cut and [r[2] for r in whole] == [0] + [60] * 39
+def _substring_by_windows(rows, window=20):
+    """n_removed and kept by looking at every window."""
+    words = [(10**18 if i is None else i, (t or "").encode().split()) for i, t in rows]
+    first = {}
+    for did, w in words:
+        for s in range(len(w) - window + 1):
+            k = tuple(w[s : s + window])
+            first[k] = min(first.get(k, (did, s)), (did, s))
+    out = []
+    for (i, _), (did, w) in zip(rows, words, strict=True):
+        gone = {x for s in range(len(w) - window + 1) if first[tuple(w[s : s + window])] != (did, s) for x in range(s, s + window)}
+        out.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("how", [{}, {"batch": 30, "per_bucket": 1000}, {"batch": 30, "per_bucket": 1000, "hot": 2}, {"batch": 30, "hot": 2}])
+def test_substring_by_all_windows(spark, how):
+    """One passage in all documents, passages over each other, null and repeated ids; also with a batch for each text, many buckets, and too frequent prefixes."""
+    r = np.random.default_rng(4)
+    rows = [(i, f"w{i} {PASSAGE} v{i} " + " ".join(f"u{x}" for x in r.integers(0, 2, 60))) for i in range(120)] + [(i, t) for i, t, _ in ROWS] + [(None, f"n {PASSAGE}"), (5, f"w {PASSAGE}"), (None, "n " * 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.dedup(df, **how).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got), key=repr) == _substring_by_windows(rows)
+    assert all(sum(y.end - y.start for y in x.repeats) == x.n_removed and hashlib.sha256(x.kept.encode()).hexdigest() == x.kept_sha256 for x in got)
 
 
 def test_packing_by_tokenizers(docs):

@@ -1,52 +1,17 @@
-"""What the operators share: scratch tables that every executor can read, and word and text expressions."""
+"""What the operators share: scratch tables that every executor can read, and expressions."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import discard, only_kept, saved, shared_dir
+
+__all__ = ["SPACE", "WORD", "discard", "only_kept", "saved", "shared_dir", "small", "unit"]
+
 #: White space of the contracts, for Java and RE2 expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
-        _FOLDERS[app] = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-        atexit.register(remove, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop, as it may be in any store."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch
-        pass
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: this cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Have shuffle files deleted that no plan needs any more: Spark's cleaner waits for a collection on the driver, by default half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:

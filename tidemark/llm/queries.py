@@ -24,7 +24,7 @@ def op2_top_k(spark, sf_dir):
 
 def op3_substring(spark, sf_dir):
     """What is left of each text without passages that occur earlier."""
-    return substring.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return substring.dedup(_table(spark, sf_dir, "documents")).drop("kept", "repeats")
 
 
 def op4_toxicity(spark, sf_dir):

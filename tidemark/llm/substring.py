@@ -1,39 +1,50 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-Every run of WINDOW words that occurs earlier is found, exactly, and the words under its later occurrences go.
-A suffix matters only up to WINDOW words, and only if its first WINDOW words occur twice. The way there:
-
-1. Of the K-word runs in a window the one with the least hash is its seed; equal windows have equal seeds. Seeds that
-   occur once are dropped, and with them nearly all suffixes that can't repeat.
-2. The suffixes left are dealt by seed, together with the words around it, so that neighbouring suffixes of a document
-   travel in one row. A group too large for memory is cut by hash; what is then first in its part goes on under a longer
-   prefix, all WINDOW words, where a part contributes one row at most.
-3. In a group the suffixes are sorted by doubling their ranks, as for a suffix array, to depth WINDOW: equal ranks are the leaves under one
-   internal node that deep, and hold equal words. All but the earliest leaf are repeats.
+A suffix begins at a word that has WINDOW - 1 more behind it in its document, and matters only to that depth: the tree is cut there. Its
+internal nodes at depth WINDOW are the runs of WINDOW words that occur more than once; all leaves under such a node but the
+earliest are repeats, and repeats that lie side by side make up the maximal repeats of a document. The way there:
+
+1. Texts are put into batches of about half a million words, which get a number and stay as they are.
+2. Prefixes. Suffixes are told apart by the hash of their first K words, and counted: each batch tells its distinct prefixes, dealt to
+   buckets by prefix, and hears which of them occur once in the whole corpus (no internal node can lie below
+   them, so those suffixes end here), more often, or so often that their subtree would not fit into memory.
+3. Subtrees. The suffixes left go to the bucket of their prefix, those of too frequent prefixes to one of the whole WINDOW words, which is the
+   longest prefix there is. They carry the hash of their next words (edges at depth K and STEP) and of all words after the prefix. In a bucket they
+   are sorted; equal hashes from the prefix to depth WINDOW are one deep node. A batch first joins its own leaves, so a bucket holds one leaf
+   of a deep node for each batch at most, and those of a too frequent prefix are dealt once more by batch, to be joined in two steps.
+4. Every batch hears which of its suffixes are repeats, and drops the words under them.
+
+Words are compared by 128 bits and more of hashes: a bucket's, and 32 of the prefix, 32 and 64 of what follows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress, groupby, islice
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, saved
+from tidemark.llm.common import discard, saved
 
-WINDOW, K = 20, 5
-LIMIT = 256  # rows of a group that are dealt with at once
-ROWS = 20_000  # rows of many groups that are sorted together
+WINDOW, K, STEP = 20, 5, 12
+HOT = 65_536  # batches that hold a prefix before it is too frequent for one subtree
+WORDS, BYTES = 2**19, 2**23  # of a batch
+PER_BUCKET = 2**20  # suffixes for each bucket of prefixes, about
 CHUNK, LONG = 2**17, 2**16  # bytes hashed at once, and of the longest word that is hashed with others
 LAST = 2**63 - 1  # stands for a null id, which is later than any other
-CONTEXT = "h long, part int, parts int, did long, tkey long, start int, words binary"
-FOUND = "did long, tkey long, start int, mask long, h long, words binary"
+CORPUS = "src long, n long, dids binary, sizes binary, z binary"
+PREFIXES = "bucket int, src long, low binary, twice binary"
+ANSWERS = "src long, bucket int, again binary, hot binary"
+LEAVES = "bucket int, src long, n int, names binary, places binary, dids binary"
+MARKS = -1  # stands for a bucket where places are the numbers of suffixes that are repeats, and there are no names
 
 
 def _powers(r: int) -> np.ndarray:
@@ -67,211 +78,266 @@ def hashed(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def seeds(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the k-word run at each position, position of each window's seed)."""
-    if len(starts) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = hashed(text, starts, ends)
-    n = len(h) - k + 1
-    g = np.zeros(n, np.uint64)
-    for j in range(k):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
-    g ^= g >> np.uint64(31)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(29)
-    span = window - k + 1
-    return g, sliding_window_view(g, span).argmin(axis=1) + np.arange(n - span + 1)
-
-
-def _batch(schema: str, cols: list) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     fields = [f.strip().split(" ") for f in schema.split(",")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
 
-def emit_seeds(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(did, tkey, p, h) of each seed of each text."""
-    for b in batches:
-        dids, tkeys, ps, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for did, tkey, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            data = np.frombuffer(text.as_buffer() or b"", np.uint8)
-            g, at = seeds(data, *cut(data), window, k)
-            p = at[np.flatnonzero(np.diff(at, prepend=-1))]  # a window's seed is never before that of the window before
-            dids.append(np.full(len(p), did))
-            tkeys.append(np.full(len(p), tkey))
-            ps.append(p.astype(np.int32))
-            hs.append(g[p].view(np.int64))
-        yield _batch("did long, tkey long, p int, h long", list(map(np.concatenate, (dids, tkeys, ps, hs))))
-
-
-def emit_contexts(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
-    """A CONTEXT row for each repeated seed of a text: its windows lie side by side, so their words are one run."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        hits = b.column(3)
-        ends, fields = hits.offsets.to_numpy(), hits.values
-        every_p, every_parts = fields.field("p").to_numpy(), fields.field("parts").to_numpy()
-        for i, (did, tkey, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            text = unpack(z)
-            data = np.frombuffer(text, np.uint8)
-            starts, ends_of = cut(data)
-            g, at = seeds(data, starts, ends_of, window, k)
-            p, parts = every_p[ends[i] : ends[i + 1]], every_parts[ends[i] : ends[i + 1]]
-            first, last = np.searchsorted(at, p), np.searchsorted(at, p, "right")
-            there = first < last
-            p, parts, first, last = p[there], parts[there], first[there], last[there]
-            part = np.array([xxhash.xxh32_intdigest(b"%d:%d" % (did, x)) % n if n > 1 else 0 for x, n in zip(p.tolist(), parts.tolist(), strict=True)], np.int64)
-            cols = (g[p].view(np.int64), part, parts, np.full(len(p), did), np.full(len(p), tkey), first)
-            for col, v in zip(out, cols, strict=False):
-                col.append(v)
-            out[6] += [text[x:y] for x, y in zip(starts[first].tolist(), ends_of[last - 2 + window].tolist(), strict=True)]
-            if len(out[6]) > ROWS:
-                yield _batch(CONTEXT, [*map(np.concatenate, out[:6]), out[6]])
-                out = [[] for _ in range(7)]
-        if out[6]:
-            yield _batch(CONTEXT, [*map(np.concatenate, out[:6]), out[6]])
-
-
-def deep_nodes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, node) of each window of the rows' words: windows with equal words, which are of one seed, have one node."""
-    lists = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    number: dict[bytes, int] = {}
-    codes = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64, int(sizes.sum()))
-    firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    row = np.repeat(np.arange(len(lists)), np.maximum(sizes - window + 1, 0))
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(sizes - window + 1, 0)) - np.maximum(sizes - window + 1, 0), np.maximum(sizes - window + 1, 0))
-    at = firsts[row] + offset
-    # ranks of all suffixes by their first 1, then some 4, then some 12 words, as many at once as a 64-bit number holds; suffixes
-    # cut off by the end of a row are never asked for
-    levels = [(1, codes, len(number))]
-    while True:
-        depth, rank, ranks = levels[-1]
-        times = min(_times(ranks), window // depth)
-        if times < 2 or depth * times > window:
-            break
-        levels.append((depth * times, *_ranked(_together(rank, ranks, [np.concatenate((rank[d:], np.zeros(min(d, len(rank)), np.int64))) for d in range(depth, depth * times, depth)]))))
-    node, nodes, done = np.zeros(len(row), np.int64), 1, 0
-    for depth, rank, ranks in reversed(levels):  # the whole window, the largest steps first
-        while done + depth <= window:
-            if nodes * ranks >= 2**63:
-                node, nodes = _ranked(node)
-            node, nodes, done = node * ranks + rank[at + done], nodes * ranks, done + depth
-    return row, offset, _ranked(node)[0]
-
-
-def _times(ranks: int) -> int:
-    """How many ranks fit into 63 bits together."""
-    return 63 // max(1, (ranks - 1).bit_length())
-
-
-def _together(rank: np.ndarray, ranks: int, more: list[np.ndarray]) -> np.ndarray:
-    for x in more:
-        rank = rank * ranks + x
-    return rank
-
-
-def _ranked(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rank of each value among the distinct ones, and their number."""
-    distinct, rank = np.unique(values, return_inverse=True)
-    return rank, max(1, len(distinct))
-
-
-def judge(rows: dict[str, list], window: int, onward: bool) -> list[list]:
-    """FOUND columns for whole groups: masks of the windows that occur earlier in their group, and the first windows of groups that are parts."""
-    row, offset, node = deep_nodes(rows["words"], window)
-    did, start = np.array(rows["did"], np.int64)[row], np.array(rows["start"], np.int64)[row] + offset
-    order = np.lexsort((start, did, node))
-    n, d, s = node[order], did[order], start[order]
-    new = np.concatenate(([True], n[1:] != n[:-1])) if len(n) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
-    later = (d != d[lead]) | (s != s[lead])
-    mask = np.zeros(len(rows["h"]), np.int64)
-    np.bitwise_or.at(mask, row[order[later]], np.int64(1) << offset[order[later]])
-    hit = np.flatnonzero(mask)
-    out = [[rows[c][i] for i in hit] for c in ("did", "tkey", "start")] + [mask[hit].tolist(), [None] * len(hit), [None] * len(hit)]
-    if onward:
-        split = np.array(rows["parts"]) > 1
-        for i in order[new & split[row[order]]]:
-            r, o = int(row[i]), int(offset[i])
-            words = b" ".join(rows["words"][r].split()[o : o + window])
-            for col, v in zip(out, (rows["did"][r], rows["tkey"][r], rows["start"][r] + o, None, xxhash.xxh64_intdigest(words) - 2**63, words), strict=True):
-                col.append(v)
-    return out
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers in columns, each as differences and byte by byte, so that small steps take little room."""
+    planes = [np.diff(c.astype(np.int64), prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def judge_groups(batches: Iterator[pa.RecordBatch], window: int, onward: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; whole groups are judged some ten thousand rows at a time."""
-    held: dict[str, list] = {n.strip().split(" ")[0]: [] for n in CONTEXT.split(",")}
-    for b in batches:
-        for name, col in zip(held, b.columns, strict=True):
-            held[name] += col.to_pylist()
-        if len(held["h"]) >= ROWS:
-            cut = len(held["h"]) - 1
-            last = held["h"][cut], held["part"][cut]
-            while cut and (held["h"][cut - 1], held["part"][cut - 1]) == last:
-                cut -= 1
-            if cut:
-                yield _batch(FOUND, judge({n: c[:cut] for n, c in held.items()}, window, onward))
-                held = {n: c[cut:] for n, c in held.items()}
-    if held["h"]:
-        yield _batch(FOUND, judge(held, window, onward))
-
-
-def emit_kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_words, n_removed, kept_sha256 and kept: the words under no mark, joined by one space."""
-    unpack = zstandard.ZstdDecompressor().decompress
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
+    return [np.cumsum(np.ascontiguousarray(p.T).view("<i8").ravel()) for p in planes]
+
+
+def batches_of(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """CORPUS rows of the texts of a task, in their order; a batch ends with the text that brings it to `most` words."""
+    made, dids, texts, words, size = 0, [], [], 0, 0
+
+    def out() -> pa.RecordBatch:
+        src = (TaskContext.get().partitionId() << 32) + made
+        z = zstandard.ZstdCompressor(level=1).compress(b" ".join(texts))
+        return _batch(CORPUS, [(src, words, pack(np.array(dids, np.int64)), pack(np.fromiter(map(len, texts), np.int64, len(texts))), z)])
+
+    for b in rows:
+        for did, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            raw = bytes(text.as_buffer() or b"")
+            dids.append(did)
+            texts.append(raw)
+            words += len(raw.split())
+            size += len(raw)
+            if words >= most or size >= BYTES:
+                yield out()
+                made, dids, texts, words, size = made + 1, [], [], 0, 0
+    if dids:
+        yield out()
+
+
+class Suffixes:
+    """The suffixes of a batch, by number: at[i] is the first word of suffix i, doc[i] its text."""
+
+    def __init__(self, dids: bytes, sizes: bytes, z: bytes, window: int, hashes: bool = False) -> None:
+        self.text = zstandard.ZstdDecompressor().decompress(z)
+        self.dids, lengths = unpack(dids, 1)[0], unpack(sizes, 1)[0]
+        self.byte = np.concatenate(([0], np.cumsum(lengths + 1)))  # where each text begins; one space between
+        data = np.frombuffer(self.text, np.uint8)
+        self.starts, self.ends = cut(data)
+        self.first = np.searchsorted(self.starts, self.byte)  # first word of each text
+        n = np.diff(self.first)
+        per = np.maximum(n - window + 1, 0)
+        self.doc = np.repeat(np.arange(len(n)), per)
+        self.at = np.arange(len(self.doc)) + np.repeat(self.first[:-1] - np.cumsum(per) + per, per)
+        self.words = hashed(data, self.starts, self.ends) if hashes else None
+
+    def name(self, which: np.ndarray, first: int, last: int) -> np.ndarray:
+        """A hash of the words [first, last) of the suffixes `which`."""
+        at, g = self.at[which], np.full(len(which), last - first, np.uint64)
+        for j in range(first, last):
+            g = (g ^ (g >> np.uint64(32))) * np.uint64(_FACTOR) + self.words[at + j]
+        return mixed(g)
+
+
+def mixed(g: np.ndarray) -> np.ndarray:
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return g ^ (g >> np.uint64(29))
+
+
+def prefixes(s: Suffixes, bits: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct prefixes in order, the prefix of each suffix, how often each occurs): `bits` for the bucket and 32 more."""
+    return np.unique(s.name(np.arange(len(s.at)), 0, k) >> np.uint64(32 - bits), return_inverse=True, return_counts=True)
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of the runs of equal values."""
+    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, int)
+    return zip(values[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
-        marks = b.column(2)
-        ends, fields = marks.offsets.to_numpy(), marks.values
-        every_start, every_mask = fields.field("start").to_numpy(), fields.field("mask").to_numpy()
-        for i, (did, z) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            words = unpack(z).split()
-            removed, kept = 0, words
-            if ends[i] < ends[i + 1]:
-                start, mask = every_start[ends[i] : ends[i + 1]], every_mask[ends[i] : ends[i + 1]]
-                r, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(mask, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                at, n = start[r] + bit, len(words)
-                keep = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1))[:n] == 0
-                kept, removed = [w for w, k in zip(words, keep.tolist(), strict=True) if k], int(n - keep.sum())
-            kept = b" ".join(kept)
-            for col, v in zip(out, (did, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, limit: int = LIMIT) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the text that stays).
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def in_batches(schema: str, rows: Iterator[tuple], many: int = 1024) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, many)):
+        yield _batch(schema, part)
+
+
+def bitmap(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def flags(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool)
+
+
+def tell_prefixes(corpus: Iterator[pa.RecordBatch], bits: int, window: int, k: int) -> Iterator[pa.RecordBatch]:
+    """PREFIXES of each batch: by bucket its distinct prefixes, and which of them it holds several times."""
+    for src, _, dids, sizes, z in rows_of(corpus):
+        s = Suffixes(dids, sizes, z, window, hashes=True)
+        p, _, count = prefixes(s, bits, k)
+        yield from in_batches(PREFIXES, ((bucket, src, p[x:y].astype("<u4").tobytes(), bitmap(count[x:y] > 1)) for bucket, x, y in runs(p >> np.uint64(32))))
+
+
+def count_prefixes(told: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """ANSWERS: for each batch which of its prefixes occur again anywhere, and which are in over `hot` batches."""
+
+    def answers() -> Iterator[tuple]:
+        for bucket, group in groupby(rows_of(told), key=lambda r: r[0]):
+            group = [(src, np.frombuffer(low, "<u4"), twice) for _, src, low, twice in group]
+            values, count = np.unique(np.concatenate([low for _, low, _ in group]), return_counts=True)
+            again = np.union1d(values[count > 1], np.concatenate([low[flags(twice, len(low))] for _, low, twice in group]))
+            often = values[count > hot]
+            for src, low, _ in group:
+                yield src, bucket, bitmap(np.isin(low, again, assume_unique=True)), bitmap(np.isin(low, often, assume_unique=True)) if len(often) else b""
+
+    return in_batches(ANSWERS, answers())
+
+
+def deep_nodes(did: np.ndarray, start: np.ndarray, prefix: np.ndarray, edge: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves in tree order, whether each starts later than the first leaf of its deep node).
+
+    Leaves are sorted by what they read from the prefix down; those that agree from the prefix to depth WINDOW lie under one node.
+    """
+    order = np.lexsort((start, did, rest, edge, prefix))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([n[order[1:]] != n[order[:-1]] for n in (prefix, edge, rest)])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return order, (did[order] != did[lead]) | (start[order] != start[lead])
+
+
+def whole_bucket(prefix: np.ndarray, rest: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
+    """The bucket of all words of a suffix, from the last `bits` that its prefix keeps on the way and from the rest."""
+    whole = mixed(prefix.astype("<u4").astype(np.uint64) ^ rest) + np.uint64(salt * _FACTOR % 2**64)
+    return (whole >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rest), np.int64)
+
+
+def leaves(src: int, bucket: np.ndarray, number: np.ndarray, did: np.ndarray, start: np.ndarray, prefix: np.ndarray, edge: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
+    """LEAVES rows of one batch, by bucket."""
+    by = np.argsort(bucket, kind="stable")
+    number, did, start, prefix, edge, rest = (x[by] for x in (number, did, start, prefix.astype("<u4"), edge.astype("<u4"), rest.astype("<u8")))
+    for b, x, y in runs(bucket[by]):
+        docs, of = np.unique(did[x:y], return_inverse=True)
+        yield b, src, y - x, prefix[x:y].tobytes() + edge[x:y].tobytes() + rest[x:y].tobytes(), pack(number[x:y], of, start[x:y]), pack(docs)
+
+
+def emit_leaves(rows: Iterator[pa.RecordBatch], bits: int, window: int, k: int, step: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """LEAVES of each batch: the suffixes whose prefix occurs again, but for those that the batch itself knows to be repeats, which are MARKS."""
+
+    def out() -> Iterator[tuple]:
+        for src, _, dids, sizes, z, answers in rows_of(rows):
+            s = Suffixes(dids, sizes, z, window, hashes=True)
+            p, of, _ = prefixes(s, bits, k)
+            again, hot = np.zeros(len(p), bool), np.zeros(len(p), bool)
+            at = {bucket: slice(x, y) for bucket, x, y in runs(p >> np.uint64(32))}
+            for a in answers:
+                there = at[a["bucket"]]
+                again[there] = flags(a["again"], there.stop - there.start)
+                if a["hot"]:
+                    hot[there] = flags(a["hot"], there.stop - there.start)
+            number = np.flatnonzero(again[of])
+            prefix, edge, rest = p[of[number]], s.name(number, k, step) >> np.uint64(32), s.name(number, k, window)
+            did, start = s.dids[s.doc[number]], s.at[number] - s.first[s.doc[number]]
+            order, later = deep_nodes(did, start, prefix, edge, rest)
+            if later.any():
+                yield MARKS, src, 0, None, pack(np.sort(number[order[later]])), None
+            mine = np.sort(order[~later])
+            number, did, start, prefix, edge, rest = (x[mine] for x in (number, did, start, prefix, edge, rest))
+            bucket, often = (prefix >> np.uint64(32)).astype(np.int64), hot[of[number]]
+            if often.any():  # under the longest prefix, and dealt by batch
+                bucket = np.where(often, (1 << bits) + whole_bucket(prefix, rest, bits, src % parts), bucket)
+            yield from leaves(src, bucket, number, did, start, prefix, edge, rest)
+
+    return in_batches(LEAVES, out())
+
+
+def judge(rows: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """MARKS for each batch from whole buckets, and LEAVES again for the first of each deep node in a bucket that is a part."""
+
+    def out() -> Iterator[tuple]:
+        for bucket, group in groupby(rows_of(rows), key=lambda r: r[0]):
+            if bucket == MARKS:
+                yield from group
+                continue
+            group = list(group)
+            srcs, sizes = [r[1] for r in group], [r[2] for r in group]
+            prefix, edge, rest = (np.concatenate([np.frombuffer(r[3], t, n, at * n) for r, n in zip(group, sizes, strict=True)]) for t, at in (("<u4", 0), ("<u4", 4), ("<u8", 8)))
+            places = [unpack(r[4], 3) for r in group]
+            did = np.concatenate([unpack(r[5], 1)[0][of] for r, (_, of, _) in zip(group, places, strict=True)])
+            number, start = (np.concatenate([x[i] for x in places]) for i in (0, 2))
+            del group, places
+            order, later = deep_nodes(did, start, prefix, edge, rest)
+            repeat = np.zeros(len(order), bool)
+            repeat[order[later]] = True
+            end = 0
+            for src, n in zip(srcs, sizes, strict=True):
+                here = slice(end, end := end + n)
+                r = repeat[here]
+                if r.any():
+                    yield MARKS, src, 0, None, pack(number[here][r]), None
+                if parts > 1 and bucket >= 1 << bits and not r.all():
+                    first = (x[here][~r] for x in (number, did, start, prefix, edge, rest))
+                    yield from leaves(src, whole_bucket(prefix[here][~r], rest[here][~r], bits), *first)
+
+    return in_batches(LEAVES, out())
+
+
+def drop_repeats(rows: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_words, n_removed, kept_sha256, kept (the words under no mark, joined by one space) and repeats (the maximal runs of words that go)."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    for _, _, dids, sizes, z, marks in rows_of(rows):
+        s = Suffixes(dids, sizes, z, window)
+        at = s.at[np.concatenate([np.zeros(0, np.int64), *(unpack(m, 1)[0] for m in marks or ())])]
+        n = len(s.starts)
+        gone = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1))[:n] > 0
+        before = np.concatenate(([0], np.cumsum(gone)))
+        words, removed = np.diff(s.first), np.diff(before[s.first])
+        out: list[tuple] = []
+        for i, (did, w, r) in enumerate(zip(s.dids.tolist(), words.tolist(), removed.tolist(), strict=True)):
+            text, spans = s.text[s.byte[i] : s.byte[i + 1] - 1].split(), []
+            if r:
+                mine = gone[s.first[i] : s.first[i + 1]]
+                spans = [{"start": x, "end": y} for v, x, y in runs(mine) if v]
+                text = compress(text, (~mine).tolist())
+            kept = b" ".join(text)
+            out.append((None if did == LAST else did, w, r, hashlib.sha256(kept).hexdigest(), kept.decode(), spans))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "repeats"])
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, step: int = STEP, hot: int = HOT, batch: int = WORDS, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the text that stays), repeats (array of start, end in words).
 
     Windows are judged on the input. Null texts and texts under `window` words lose nothing. Rows of one id are one document:
-    the earlier start counts, and rows that repeat id and text share their marks. A null id is later than any other. An empty table gives no rows;
-    columns other than doc_id and text are ignored. window - k + 1 must not pass 63.
+    the earlier start counts, so rows that repeat id and text lose the same words. A null id is later than any other, and rows of null id are
+    one document as well: of two that hold a passage at the same start neither loses it. An empty table gives no rows; columns other than
+    doc_id and text are ignored.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")]
-    texts = docs.select(*key, "text")
-
-    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], ["did", "tkey", "z"])
-
-    packed = texts.mapInArrow(squeezed, "did long, tkey long, z binary")
-    found = texts.mapInArrow(lambda it: emit_seeds(it, window, k), "did long, tkey long, p int, h long")
-    often = saved(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-seeds")
-    hit = F.struct("p", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    hits = found.join(often, "h").groupBy("did", "tkey").agg(F.sort_array(F.collect_set(hit)).alias("hits"))
-    # rows that repeat id and text are one here
-    one = packed.join(hits, ["did", "tkey"]).select("did", "tkey", "z", "hits")
-    contexts = one.mapInArrow(lambda it: emit_contexts(it, window, k), CONTEXT)
-    first = saved(contexts.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(lambda it: judge_groups(it, window, True), FOUND), "repeats")
-    release(docs.sparkSession)
-    onward = first.filter("h is not null").select("h", F.lit(0).alias("part"), F.lit(1).alias("parts"), "did", "tkey", "start", "words")
-    second = onward.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: judge_groups(it, window, False), FOUND)
-    marks = first.filter("mask is not null").unionByName(second).groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    rows = packed.join(marks, ["did", "tkey"], "left").select(F.when(F.col("did") != LAST, F.col("did")).alias("doc_id"), "z", "marks")
-    return rows.mapInArrow(lambda it: emit_kept(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), "text")
+    corpus = saved(texts.mapInArrow(lambda it: batches_of(it, batch), CORPUS), "corpus")
+    words, batches = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    bits, parts = min(24, max(0, ceil(log2(max(1, words) / per_bucket)))), -(-batches // hot) or 1
+    tasks = max(8, 1 << bits)  # grows with the corpus, so that a task's share doesn't
+    told = corpus.mapInArrow(lambda it: tell_prefixes(it, bits, window, k), PREFIXES).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    answers = saved(told.mapInArrow(lambda it: count_prefixes(it, hot), ANSWERS), "prefixes")
+    heard = corpus.join(answers.groupBy("src").agg(F.collect_list(F.struct("bucket", "again", "hot")).alias("answers")), "src")
+
+    def dealt(leaves: DataFrame) -> DataFrame:
+        return leaves.repartition(tasks, F.when(F.col("bucket") == MARKS, F.xxhash64("src")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket").mapInArrow(lambda it: judge(it, bits, parts), LEAVES)
+
+    first = saved(dealt(heard.mapInArrow(lambda it: emit_leaves(it, bits, window, k, step, parts), LEAVES)), "repeats")
+    discard(answers)
+    marks = first.filter(F.col("bucket") == MARKS)
+    if parts > 1:
+        marks = marks.unionByName(saved(dealt(first.filter(F.col("bucket") != MARKS)), "repeats"))
+    rows = corpus.join(marks.groupBy("src").agg(F.collect_list("places").alias("marks")), "src", "left")
+    return rows.mapInArrow(lambda it: drop_repeats(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, repeats array<struct<start: bigint, end: bigint>>")
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
