@@ -1,10 +1,13 @@
 import datetime as dt
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import sources
-from tidemark.operators import access, bands, lots, serial, versions
+from tidemark import functions as fn
+from tidemark import plans, sources
+from tidemark.operators import access, bands, loading, lots, serial, versions
 from tidemark.streaming import feeds
 
 
@@ -131,6 +134,49 @@ def test_bands_and_as_of(spark):
     assert sorted((r.k, r.t, r.x or "") for r in bands.as_of(left, right, ["k"], "t", "u", ["x"]).collect()) == [(1, 1, ""), (1, 5, "b"), (2, 9, "")]
 
 
+def test_as_of_in_cells(spark):
+    r = random.Random(5)
+    left = [(r.randrange(3), r.randrange(1000)) for _ in range(300)] + [(None, 4), (9, 0)]
+    right = [(r.randrange(3), i * 7, f"x{i}") for i in range(120)] + [(None, 2, "n")]
+    a, b = spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "k int, u int, x string")
+    want = sorted((k, t, max(((u, x) for j, u, x in right if j == k and u <= t), default=(0, None))[1]) for k, t in left if k is not None)
+    for cell in (None, 5, 50, 10**6):
+        assert sorted((x.k, x.t, x.x) for x in bands.as_of(a, b, ["k"], "t", "u", ["x"], cell).collect() if x.k is not None) == want
+        assert [x.x for x in bands.as_of(a, b, ["k"], "t", "u", ["x"], cell).filter("k is null").collect()] == ["n"]
+
+
+def test_matching_by_walking(spark):
+    """Lots and sells against two queues; ends that meet, sells beyond all lots, groups with one side only, null keys."""
+    r = random.Random(6)
+    lot = [(g, i, float(r.randrange(1, 6))) for g in ("a", "b", "c", None) for i in range(40)]
+    sell = [(g, i, float(r.randrange(1, 9))) for g in ("a", "b", "d", None) for i in range(r.randrange(10, 60))]
+    got = lots.match(spark.createDataFrame(lot, "g string, lot int, q double"), spark.createDataFrame(sell, "g string, sell int, s double"), ["g"], ["lot"], ["sell"], "q", "s")
+    want = []
+    for g in ("a", "b", None):
+        queue = [[i, q] for h, i, q in lot if h == g]
+        for h, j, s in sell:
+            while h == g and s and queue:
+                take = min(s, queue[0][1])
+                want.append((g, queue[0][0], j, take))
+                s, queue[0][1] = s - take, queue[0][1] - take
+                if not queue[0][1]:
+                    queue.pop(0)
+    assert sorted(((x.g, x.lot, x.sell, x.matched) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_places_in_a_whole_table(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)] + [(5, -1), (5, -2)], "a int, b int").repartition(7)
+    got = access.ranked(df, [F.col("a").desc(), F.col("b").asc()]).collect()
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.pos)] == sorted(((x.a, x.b) for x in got), key=lambda x: (-x[0], x[1])) and sorted(x.pos for x in got) == list(range(1, 1003))
+
+
+def test_scans_with_gaps(spark, tmp_path):
+    """Places of a range are counted, not taken from the keys."""
+    spark.createDataFrame([(k, k, 1.0) for k in (3, 10, 13, 17, 20, 25)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    at = lambda q: [(r.pos, r.o_orderkey) for r in plans.QUERIES[q](spark, str(tmp_path)).collect()]
+    assert at("scan_forward") == [(1, 10), (2, 13), (3, 17)] and at("scan_reverse") == [(1, 20), (2, 17), (3, 13)]
+
+
 def test_write_skew_is_caught(spark):
     txns = spark.createDataFrame([(0, 0, 1), (1, 2, 10), (2, 3, 11)], "txn long, begin_ts long, commit_ts long")
     reads = spark.createDataFrame([(1, "x", 0), (1, "y", 0), (2, "x", 0), (2, "y", 0)], "txn long, key string, version long")
@@ -140,9 +186,86 @@ def test_write_skew_is_caught(spark):
     assert serial.dangerous(txns, reads, writes).count() >= 1
 
 
+def test_stamps_go_back_along_chains(spark):
+    """T1 reads what T2 overwrote, T2 what T3 overwrote, committed at 30, 20 and 10; T1 also reads a version of 15."""
+    txns = spark.createDataFrame([(0, 0, 1), (4, 0, 15), (1, 5, 30), (2, 5, 20), (3, 5, 10)], "txn long, begin_ts long, commit_ts long")
+    reads = spark.createDataFrame([(1, "x", 0), (1, "z", 4), (2, "y", 0)], "txn long, key string, version long")
+    writes = spark.createDataFrame([(2, "x", 0), (3, "y", 0)], "txn long, key string, version long")
+    got = {r.txn: (r.eta, r.pi, r.abort) for r in serial.ssn(txns, reads, writes).collect()}
+    assert got[1] == (15, 10, True) and got[2] == (1, 10, False) and got[3] == (1, 10, False) and got[4] == (0, 15, False)
+
+
+def test_generators(spark):
+    u = spark.range(20000).select(fn.random(F.col("id"), 1).alias("u"), fn.random(F.col("id"), 2).alias("v"))
+    x = u.select(fn.zipf(F.col("u"), 50).alias("z"), fn.hot(F.col("u"), F.col("v"), 1, 100).alias("h"), fn.nurand(F.col("u"), F.col("v"), 255, 3, 1, 1000).alias("n"), fn.uniform(F.col("u"), 5, 9).alias("f"))
+    rows = x.collect()
+    zeta = sum(k**-0.99 for k in range(1, 51))
+    assert abs(sum(r.z == 1 for r in rows) / 20000 - 1 / zeta) < 0.02 and {r.z for r in rows} <= set(range(1, 51))
+    assert abs(sum(r.h <= 20 for r in rows) / 20000 - 0.8) < 0.02 and {r.f for r in rows} == {5, 6, 7, 8, 9} and all(1 <= r.n <= 1000 for r in rows)
+    assert sorted(sum(r.f == k for r in rows) for k in range(5, 10))[0] > 3500
+
+
+def test_bulk_load_finds_losses(spark, tmp_path, monkeypatch):
+    table = versions.VersionedTable(str(tmp_path / "log"), ["key"]).create(spark, "key string, value string")
+    rows = spark.createDataFrame([(str(i), "v") for i in range(50)], "key string, value string")
+    loading.bulk_load(spark, table, rows, 4)
+    assert table.size(spark) == 50 and table.watermark(spark) == 4
+    with pytest.raises(ValueError):
+        loading.bulk_load(spark, table, rows)  # the keys are there
+    monkeypatch.setattr(versions.VersionedTable, "at", lambda self, spark: rows.limit(49))
+    with pytest.raises(ValueError):
+        loading.bulk_load(spark, versions.VersionedTable(str(tmp_path / "other"), ["key"]).create(spark, "key string, value string"), rows)
+
+
 def test_replay_equals_batch(spark, log, tmp_path):
     for i, part in enumerate((log.filter("commit_ts <= 3"), log.filter("commit_ts > 3"))):
         part.coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     feeds.replay(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r.key: r.value for r in feeds.read_view(spark, str(tmp_path / "out"), ["key"]).collect()} == {"a": "2", "b": "9", "c": "1"}
+    (tmp_path / "out/batch=1/_SUCCESS").unlink()  # a batch whose write has not ended
+    assert {r.key: r.value for r in feeds.read_view(spark, str(tmp_path / "out"), ["key"]).collect()} == {"a": "2", "b": "1"}
+
+
+def test_replica_follows(spark, log, tmp_path):
+    log.filter("commit_ts <= 3").coalesce(1).write.parquet(str(tmp_path / "in/part0"))
+    source = spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = feeds.replay(source, str(tmp_path / "out"), str(tmp_path / "cp"), every="100 milliseconds")
+    query.processAllAvailable()
+    assert {r.key: r.value for r in feeds.read_view(spark, str(tmp_path / "out"), ["key"]).collect()} == {"a": "2", "b": "1"}
+    log.filter("commit_ts > 3").coalesce(1).write.parquet(str(tmp_path / "in/part1"))
+    query.processAllAvailable()
+    query.stop()
+    assert {r.key: r.value for r in feeds.read_view(spark, str(tmp_path / "out"), ["key"]).collect()} == {"a": "2", "b": "9", "c": "1"}
+
+
+def test_commands_are_run_again(spark, tmp_path):
+    commands = spark.createDataFrame([("pay", "a", 5, 1), ("pay", "b", 7, 2), ("close", "a", None, 3)], "kind string, key string, amount int, commit_ts long")
+    commands.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(commands.schema).parquet(str(tmp_path / "in"))
+    handlers = {"pay": lambda c: c.select("key", F.col("amount").cast("string").alias("value"), "commit_ts", F.lit("U").alias("op")), "close": lambda c: c.select("key", F.lit(None).cast("string").alias("value"), "commit_ts", F.lit("D").alias("op"))}
+    feeds.redo(source, handlers, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.key: r.value for r in feeds.read_view(spark, str(tmp_path / "out"), ["key"]).collect()} == {"b": "7"}
+
+
+def test_feed_submits_once(spark, tmp_path):
+    """Ticks in two batches: a request goes out with the first tick that triggers it, in whatever batch."""
+    requests = spark.createDataFrame([(1, "a", "TLS", 10.0), (2, "a", "TSL", 3.0), (3, "b", "TLB", 5.0)], "request long, symbol string, kind string, bid_price double")
+    for i, ticks in enumerate(([("a", 11.0, 1), ("a", 12.0, 2), ("b", 9.0, 3)], [("a", 13.0, 4), ("a", 2.0, 5), ("b", 5.0, 6)])):
+        spark.createDataFrame(ticks, "symbol string, price double, seq long").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    source = spark.readStream.schema("symbol string, price double, seq long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    feeds.apply_ticks(source, requests, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.request, r.price, r.seq, r.batch) for r in spark.read.parquet(str(tmp_path / "out/submitted")).collect()) == [(1, 11.0, 1, 0), (2, 2.0, 5, 1), (3, 5.0, 6, 1)]
+    assert sorted((r.symbol, r.price, r.batch) for r in spark.read.parquet(str(tmp_path / "out/prices")).collect()) == [("a", 2.0, 1), ("a", 12.0, 0), ("b", 5.0, 1), ("b", 9.0, 0)]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """The second batch moves the watermark past the first window, and the fourth comes too late for it: a batch is held against the watermark of the one before."""
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    for i, rows in enumerate(([(at(0, 10), "x", 1.0)], [(at(5), "x", 1.0)], [(at(5, 10), "x", 1.0)], [(at(0, 20), "x", 1.0), (at(4, 30), "x", 1.0)], [(at(23), "x", 1.0)], [(at(23, 30), "x", 1.0)])):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+        for f in (tmp_path / f"in/part{i}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # the order in which files are read
+    source = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = feeds.drained(feeds.windowed(source, "1 hour"), str(tmp_path / "out")).collect()
+    assert sorted((r.start.hour, r.n) for r in got) == [(0, 1), (4, 1), (5, 2)]  # 0:20 is late, 4:30 is not

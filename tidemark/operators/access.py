@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import saved
+
 
 def bound(cols: Sequence[str], values: Sequence, op: str) -> Column:
     """The tuple comparison (cols) op (values), op one of < <= > >=, in lexicographic order."""
@@ -61,3 +63,15 @@ def median_row(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
 def exists(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """An index probe: each key with found true or false, reading only the key column."""
     return keys.join(df.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def ranked(df: DataFrame, order: Sequence[Column], rank: str = "pos") -> DataFrame:
+    """Each row with its place, from 1, in the order of the whole table; no task sees more than a range of it.
+
+    Rows are dealt by range and numbered inside their range; only the ranges' sizes, one row a task, are added up in one place.
+    """
+    dealt = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return dealt.join(F.broadcast(before), "_range").withColumn(rank, place).drop("_range", "_before")

@@ -29,14 +29,16 @@ def consume(lots: DataFrame, by: Sequence[str], order: Sequence[str], qty: str,
 def match(lots: DataFrame, sells: DataFrame, by: Sequence[str], lot_order: Sequence[str], sell_order: Sequence[str], qty: str, sell_qty: str, lifo: bool = False) -> DataFrame:
     """Several sells against the same lots: one row for each lot and sell that overlap, with the matched quantity.
 
-    LIFO here lays the lots newest first; the sells are served in their own order. Output rows are fewer than
-    lots plus sells of a group, but the join looks at each of their pairs; groups are one account and symbol.
+    LIFO here lays the lots newest first; the sells are served in their own order. Both lines are merged: between two neighbouring ends lies one
+    piece of one lot and one sell. So a group costs a sort of its lots and sells, whatever its size, and not their pairs.
     """
     a = _line(lots, by, [F.col(c).desc() if lifo else F.col(c).asc() for c in lot_order], qty, "lot")
     b = _line(sells, by, [F.col(c) for c in sell_order], sell_qty, "sell")
-    overlap = F.least("lot_end", "sell_end") - F.greatest("lot_start", "sell_start")
-    on = [a[c].eqNullSafe(b[c]) for c in by] + [a["lot_start"] < b["sell_end"], b["sell_start"] < a["lot_end"]]
-    joined = a.join(b, on, "inner")
-    for c in by:
-        joined = joined.drop(b[c])
-    return joined.withColumn("matched", overlap)
+    lot, sell = [c for c in lots.columns if c not in by], [c for c in sells.columns if c not in by]
+    ends = a.select(*by, F.col("lot_end").alias("_at"), F.struct(*lot).alias("_lot")).unionByName(b.select(*by, F.col("sell_end").alias("_at"), F.struct(*sell).alias("_sell")), allowMissingColumns=True)
+    # downward, the last lot and sell met are those that reach over the place
+    down = Window.partitionBy(*by).orderBy(F.col("_at").desc())
+    met = down.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = ends.select(*by, (F.col("_at") - F.coalesce(F.lead("_at").over(down), F.lit(0.0))).alias("matched"), *[F.last(c, ignorenulls=True).over(met).alias(c) for c in ("_lot", "_sell")])
+    pieces = pieces.filter((F.col("matched") > 0) & F.col("_lot").isNotNull() & F.col("_sell").isNotNull())
+    return pieces.select(*by, *[f"_lot.{c}" for c in lot], *[f"_sell.{c}" for c in sell], "matched")

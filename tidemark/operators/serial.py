@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import saved
+
 
 def dependencies(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """Edges (src, dst, kind): wr reads what src wrote, ww overwrites it, rw overwrites what src read."""
@@ -21,26 +23,25 @@ def dependencies(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def ssn(txns: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
-    """Serial safety net: eta is the latest commit among predecessors, pi the earliest among successors over rw edges
-    and the transaction itself; a transaction with pi <= eta must abort. One pass: pi isn't carried along chains of
-    anti-dependencies, as at commit time the successor's own pi may be lower; see ssn_chained.
-    """
-    return _certify(txns, dependencies(reads, writes), F.col("o.commit_ts"))
-
+    """Serial safety net: eta is the latest commit among a transaction's predecessors, pi the least pi among its successors over rw edges
+    that committed before it, or its own commit; it must abort if pi <= eta.
 
-def ssn_chained(txns: DataFrame, reads: DataFrame, writes: DataFrame, rounds: int) -> DataFrame:
-    """As ssn, with pi carried backward over up to `rounds` successive rw edges that point into the past."""
+    pi goes back along chains of such edges, as a successor's own pi was final when it committed. Rounds go on until none changes: as many as
+    the longest chain has edges. Each transaction is judged as though all others had committed.
+    """
     edges = dependencies(reads, writes)
-    out = _certify(txns, edges, F.col("o.commit_ts"))
-    for _ in range(rounds - 1):
-        out = _certify(out.select("txn", "begin_ts", "commit_ts", F.col("pi").alias("_pi")), edges, F.least(F.col("o.commit_ts"), F.col("o._pi")))
-    return out
-
-
-def _certify(txns: DataFrame, edges: DataFrame, back) -> DataFrame:
-    t = txns.alias("o")
-    eta = edges.join(t, F.col("src") == F.col("o.txn")).join(txns.select(F.col("txn").alias("dst"), F.col("commit_ts").alias("_at")), "dst").filter(F.col("o.commit_ts") < F.col("_at")).groupBy(F.col("dst").alias("txn")).agg(F.max("o.commit_ts").alias("eta"))
-    pi = edges.filter("kind = 'rw'").join(t, F.col("dst") == F.col("o.txn")).join(txns.select(F.col("txn").alias("src"), F.col("commit_ts").alias("_at")), "src").filter(F.col("o.commit_ts") < F.col("_at")).groupBy(F.col("src").alias("txn")).agg(F.min(back).alias("pi"))
+    at = lambda n: txns.select(F.col("txn").alias(n), F.col("commit_ts").alias(f"{n}_ts"))
+    past = edges.join(at("src"), "src").join(at("dst"), "dst")
+    eta = past.filter("src_ts < dst_ts").groupBy(F.col("dst").alias("txn")).agg(F.max("src_ts").alias("eta"))
+    back = saved(past.filter("kind = 'rw' and dst_ts < src_ts").select("src", "dst", F.col("dst_ts").alias("pi")), "rw-edges")
+    pi = back.groupBy(F.col("src").alias("txn")).agg(F.min("pi").alias("pi"))
+    while True:
+        pi = saved(pi, "pi")
+        further = back.join(pi.select(F.col("txn").alias("dst"), F.col("pi").alias("further")), "dst").groupBy(F.col("src").alias("txn")).agg(F.min("further").alias("further"))
+        now = pi.join(further, "txn", "left").select("txn", F.least("pi", "further").alias("now"), "pi")
+        if now.filter("now < pi").isEmpty():
+            break
+        pi = now.select("txn", F.col("now").alias("pi"))
     out = txns.select("txn", "begin_ts", "commit_ts").join(eta, "txn", "left").join(pi, "txn", "left")
     out = out.withColumn("eta", F.coalesce("eta", F.lit(0).cast("long"))).withColumn("pi", F.least(F.coalesce("pi", F.col("commit_ts")), F.col("commit_ts")))
     return out.withColumn("abort", F.col("pi") <= F.col("eta"))

@@ -6,14 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import pct_change, toggle
+from tidemark.functions import cents, pct_change, toggle
 from tidemark.operators import access, bands, lots
 from tidemark.plans.registry import query
 from tidemark.sources import table
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 TRADE_SQL = "(SELECT l.*, o_custkey FROM lineitem l JOIN orders ON o_orderkey = l_orderkey)"
-cents = lambda c: F.round(F.col(c) * 100).cast("long")
 day = lambda c: F.date_format(c, "yyyy-MM-dd")
 
 
@@ -29,7 +28,7 @@ def broker_volume(spark, d):
     brokers = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     volume = F.sum(F.round(F.col("l_quantity") * F.col("l_extendedprice") * 100).cast("long"))
     sums = table(spark, d, "lineitem").join(brokers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_suppkey", "s_name").agg(volume.alias("volume"))
-    return sums.withColumn("pos", F.row_number().over(Window.orderBy(F.col("volume").desc(), "s_suppkey")))  # one row a broker, after the aggregate
+    return access.ranked(sums, [F.col("volume").desc(), F.col("s_suppkey").asc()])
 
 
 @query(f"""SELECT c_custkey, coalesce(n, 0) AS n_holdings, coalesce(assets, 0) AS asset_cents FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(CAST(round(l_quantity * p_retailprice * 100) AS BIGINT))::BIGINT AS assets
@@ -46,27 +45,34 @@ def customer_recent_trades(spark, d):
     return access.first_per(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 10, last=True, rank="r").drop("o_orderdate")
 
 
-@query("""SELECT c_nationkey, round(CASE WHEN old <> 0 THEN 100 * (new / old - 1) ELSE 0 END, 6) AS pct FROM (SELECT c_nationkey, sum(p_size * CAST(round(p_retailprice * 100) AS BIGINT))::DOUBLE AS new,
-sum(p_size * (CAST(round(p_retailprice * 100) AS BIGINT) - p_partkey % 100))::DOUBLE AS old FROM (SELECT DISTINCT c_nationkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-WHERE l_orderkey < 1000) JOIN part ON p_partkey = l_partkey GROUP BY c_nationkey)""")
-def market_watch(spark, d):
-    """Percent change of the summed value of each nation's watch list (the distinct parts of its orders below key 1000)."""
-    return _watched(spark, d, trades(spark, d, "l_partkey").filter("l_orderkey < 1000"))
+WATCHED = """SELECT {0}, round(CASE WHEN old <> 0 THEN 100 * (new / old - 1) ELSE 0 END, 6) AS pct FROM (SELECT {0}, sum(p_size * CAST(round(p_retailprice * 100) AS BIGINT))::DOUBLE AS new,
+sum(p_size * (CAST(round(p_retailprice * 100) AS BIGINT) - p_partkey % 100))::DOUBLE AS old FROM ({1}) JOIN part ON p_partkey = l_partkey GROUP BY {0})"""
+
+
+def _watched(spark, d, by, watch):
+    """Percent change of the summed value of each watch list (by, l_partkey), distinct."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", cents(F.col("p_retailprice")).alias("now"))
+    out = watch.join(parts, "l_partkey").groupBy(by).agg(F.sum(F.col("p_size") * F.col("now")).cast("double").alias("new"), F.sum(F.col("p_size") * (F.col("now") - F.col("l_partkey") % 100)).cast("double").alias("old"))
+    return out.select(by, F.round(pct_change(F.col("new"), F.col("old")), 6).alias("pct"))
 
 
-def _watched(spark, d, held):
+@query(WATCHED.format("c_nationkey", "SELECT DISTINCT c_nationkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey"))
+def market_watch(spark, d):
+    """By watch list: a nation's is the parts of its customers' orders."""
     owners = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    watch = held.join(owners, "o_custkey").select("c_nationkey", "l_partkey").distinct()
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", cents("p_retailprice").alias("now"))
-    out = watch.join(parts, "l_partkey").groupBy("c_nationkey").agg(F.sum(F.col("p_size") * F.col("now")).cast("double").alias("new"), F.sum(F.col("p_size") * (F.col("now") - F.col("l_partkey") % 100)).cast("double").alias("old"))
-    return out.select("c_nationkey", F.round(pct_change(F.col("new"), F.col("old")), 6).alias("pct"))
+    return _watched(spark, d, "c_nationkey", trades(spark, d, "l_partkey").join(owners, "o_custkey").select("c_nationkey", "l_partkey").distinct())
+
+
+@query(WATCHED.format("p_type", "SELECT p_type AS p_type, p_partkey AS l_partkey FROM part").replace("SELECT p_type, sum", "SELECT part.p_type, sum").replace("GROUP BY p_type)", "GROUP BY part.p_type)"))
+def market_watch_industry(spark, d):
+    """By industry: all parts of a type."""
+    return _watched(spark, d, "p_type", table(spark, d, "part").select("p_type", F.col("p_partkey").alias("l_partkey")))
 
 
-@query("""SELECT c_nationkey, round(CASE WHEN old <> 0 THEN 100 * (new / old - 1) ELSE 0 END, 6) AS pct FROM (SELECT c_nationkey, sum(p_size * CAST(round(p_retailprice * 100) AS BIGINT))::DOUBLE AS new,
-sum(p_size * (CAST(round(p_retailprice * 100) AS BIGINT) - p_partkey % 100))::DOUBLE AS old FROM (SELECT DISTINCT c_nationkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) JOIN part ON p_partkey = l_partkey GROUP BY c_nationkey)""")
-def market_watch_all(spark, d):
-    """The same for watch lists of all orders."""
-    return _watched(spark, d, trades(spark, d, "l_partkey"))
+@query(WATCHED.format("o_custkey", "SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey"))
+def market_watch_account(spark, d):
+    """By account: the parts that it holds."""
+    return _watched(spark, d, "o_custkey", trades(spark, d, "l_partkey").select("o_custkey", "l_partkey").distinct())
 
 
 BANDS = [(1, 10, 0.01), (11, 25, 0.008), (26, 50, 0.005)]
@@ -136,7 +142,7 @@ def settlement_amount(spark, d):
     rates = spark.createDataFrame(BANDS, "from_qty int, to_qty int, rate double")
     rows = bands.band_join(trades(spark, d, "l_quantity", "l_extendedprice", "l_tax", "l_shipdate"), rates, "l_quantity", "from_qty", "to_qty", 10)
     part = lambda x: F.round(F.col("l_extendedprice") * x * 100).cast("long")
-    net = cents("l_extendedprice") - part(F.col("l_tax")) - part(F.col("rate"))
+    net = cents(F.col("l_extendedprice")) - part(F.col("l_tax")) - part(F.col("rate"))
     return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(net).alias("settle_cents"), day(F.date_add(F.max("l_shipdate"), 2)).alias("due"))
 
 
@@ -153,7 +159,7 @@ def trade_lookup_ids(spark, d):
     keys = [1, 5, 9, 12]
     found = access.multi_get(spark, table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderkey", keys).filter("o_custkey is not null")
     lines = table(spark, d, "lineitem").filter(F.col("l_orderkey").isin(*keys)).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
-    return found.join(lines, "o_orderkey", "left").select("pos", "o_orderkey", "o_custkey", "n_lines", F.when(F.col("o_orderstatus") == "F", cents("o_totalprice")).alias("cash_cents"))
+    return found.join(lines, "o_orderkey", "left").select("pos", "o_orderkey", "o_custkey", "n_lines", F.when(F.col("o_orderstatus") == "F", cents(F.col("o_totalprice"))).alias("cash_cents"))
 
 
 @query("""SELECT o_custkey, o_orderkey, r FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01') WHERE r <= 20""")
@@ -187,11 +193,15 @@ def security_detail(spark, d):
     return part.join(rivals, ["p_type", "p_brand"]).join(facts, "p_partkey", "left").drop("p_type")
 
 
-@query(f"""SELECT min(o_custkey) AS start_id, max(o_custkey) AS end_id, sum(CAST(round(l_quantity * p_retailprice * 100) AS BIGINT))::BIGINT AS total_cents FROM {TRADE_SQL} JOIN part ON p_partkey = l_partkey WHERE o_custkey >= 20 AND o_custkey < 60""")
+@query(f"""WITH k AS (SELECT min(c_custkey) + (max(c_custkey) - min(c_custkey)) // 5 AS low, min(c_custkey) + (max(c_custkey) - min(c_custkey)) // 5 * 2 AS high FROM customer)
+SELECT min(o_custkey) AS start_id, max(o_custkey) AS end_id, sum(CAST(round(l_quantity * p_retailprice * 100) AS BIGINT))::BIGINT AS total_cents, count(DISTINCT o_custkey) AS n_accounts FROM {TRADE_SQL} JOIN part ON p_partkey = l_partkey, k WHERE o_custkey >= low AND o_custkey < high""")
 def long_query_assets(spark, d):
-    rows = trades(spark, d, "l_partkey", "l_quantity").filter("o_custkey >= 20 and o_custkey < 60")
+    """The asset audit over the second fifth of the accounts: its history row."""
+    low, high = table(spark, d, "customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()  # two numbers
+    start, end = low + (high - low) // 5, low + (high - low) // 5 * 2
+    rows = trades(spark, d, "l_partkey", "l_quantity").filter((F.col("o_custkey") >= start) & (F.col("o_custkey") < end))
     prices = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    return rows.join(prices, "l_partkey").agg(F.min("o_custkey").alias("start_id"), F.max("o_custkey").alias("end_id"), F.sum(F.round(F.col("l_quantity") * F.col("p_retailprice") * 100).cast("long")).alias("total_cents"))
+    return rows.join(prices, "l_partkey").agg(F.min("o_custkey").alias("start_id"), F.max("o_custkey").alias("end_id"), F.sum(cents(F.col("l_quantity") * F.col("p_retailprice"))).alias("total_cents"), F.countDistinct("o_custkey").alias("n_accounts"))
 
 
 @query("""SELECT p_partkey, CASE WHEN r <= 20 THEN CASE WHEN contains(p_name, 'small') THEN replace(p_name, 'small', 'large') ELSE replace(p_name, 'large', 'small') END ELSE p_name END AS new_name, r <= 20 AS updated
@@ -228,6 +238,6 @@ def trade_order_estimate(spark, d):
     """What closing each order at the current price would earn, and the tax on a gain."""
     prices = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     rows = trades(spark, d, "l_partkey", "l_quantity", "l_extendedprice").join(prices, "l_partkey")
-    gain = F.sum(F.round(F.col("l_quantity") * F.col("p_retailprice") * 100).cast("long") - cents("l_extendedprice")).cast("double") / 100
-    out = rows.groupBy(F.col("l_orderkey").alias("o_orderkey"), "o_custkey").agg(F.sum(cents("l_extendedprice")).alias("cost_cents"), gain.alias("p"))
+    gain = F.sum(F.round(F.col("l_quantity") * F.col("p_retailprice") * 100).cast("long") - cents(F.col("l_extendedprice"))).cast("double") / 100
+    out = rows.groupBy(F.col("l_orderkey").alias("o_orderkey"), "o_custkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("cost_cents"), gain.alias("p"))
     return out.select("o_orderkey", "o_custkey", "cost_cents", F.round("p", 4).alias("profit"), F.when(F.col("p") > 0, F.round(F.col("p") * 0.2 * 100).cast("long")).otherwise(0).alias("tax_cents"))

@@ -62,7 +62,7 @@ def own_writes(spark, d):
 @query(f"""SELECT coalesce(a.user_id, b.user_id) AS user_id FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY commit_ts DESC) AS r FROM {LOG} WHERE commit_ts <= {CUT}) WHERE r = 1 AND op <> 'D' AND user_id < 40) a
 FULL JOIN (SELECT * FROM {NEWEST} WHERE r = 1 AND op <> 'D' AND user_id < 40) b ON a.user_id = b.user_id WHERE a.commit_ts IS DISTINCT FROM b.commit_ts""")
 def phantom_check(spark, d):
-    return versions.phantoms(log(spark, d), ["user_id"], F.col("user_id") < 40, CUT, 2**62)
+    return versions.phantoms(log(spark, d), ["user_id"], F.col("user_id") < 40, CUT, 2**62).select("user_id")
 
 
 @query("""SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'error'""")
@@ -71,29 +71,30 @@ def as_of_purchase(spark, d):
     e = table(spark, d, "events")
     left = e.filter("event_type = 'error'").select("event_id", "user_id", "ts")
     right = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("p_ts"), F.col("event_id").alias("last_purchase"))
-    return bands.as_of(left, right, ["user_id"], "ts", "p_ts", ["last_purchase"]).select("event_id", "last_purchase")
+    return bands.as_of(left, right, ["user_id"], "ts", "p_ts", ["last_purchase"], cell=7 * 86400).select("event_id", "last_purchase")
 
 
 def _history(spark, d):
-    """A made-up history: each event is a transaction that overwrites its user's version before last and read the one before its last."""
+    """A made-up history: each event is a transaction that overwrites its user's last version; purchases read the one before that."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").select("event_id", "user_id").withColumn("p1", F.lag("event_id", 1).over(w)).withColumn("p2", F.lag("event_id", 2).over(w))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type").withColumn("p1", F.lag("event_id", 1).over(w)).withColumn("p2", F.lag("event_id", 2).over(w))
     txns = e.select(F.col("event_id").alias("txn"), (F.col("event_id") * 10 - 3000).alias("begin_ts"), (F.col("event_id") * 10).alias("commit_ts"))
     writes = e.filter("p1 is not null").select(F.col("event_id").alias("txn"), F.col("user_id").alias("key"), F.col("p1").alias("version"))
-    reads = e.filter("p2 is not null and event_id % 5 = 0").select(F.col("event_id").alias("txn"), F.col("user_id").alias("key"), F.col("p2").alias("version"))
+    reads = e.filter("p2 is not null and event_type = 'purchase'").select(F.col("event_id").alias("txn"), F.col("user_id").alias("key"), F.col("p2").alias("version"))
     return txns, reads, writes
 
 
-HISTORY = """WITH e AS (SELECT event_id, user_id, lag(event_id, 1) OVER w AS p1, lag(event_id, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+HISTORY = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, lag(event_id, 1) OVER w AS p1, lag(event_id, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 t AS (SELECT event_id AS txn, event_id * 10 - 3000 AS begin_ts, event_id * 10 AS commit_ts FROM e), wr AS (SELECT event_id AS txn, user_id AS key, p1 AS version FROM e WHERE p1 IS NOT NULL),
-rd AS (SELECT event_id AS txn, user_id AS key, p2 AS version FROM e WHERE p2 IS NOT NULL AND event_id % 5 = 0),
+rd AS (SELECT event_id AS txn, user_id AS key, p2 AS version FROM e WHERE p2 IS NOT NULL AND event_type = 'purchase'),
 dep AS (SELECT version AS src, txn AS dst, 'wr' AS kind FROM rd UNION SELECT version, txn, 'ww' FROM wr UNION SELECT rd.txn, wr.txn, 'rw' FROM rd JOIN wr USING (key, version)) """
 
 
-@query(HISTORY + """SELECT txn, greatest(0, coalesce(eta, 0))::BIGINT AS eta, least(commit_ts, coalesce(pi, commit_ts))::BIGINT AS pi, least(commit_ts, coalesce(pi, commit_ts)) <= coalesce(eta, 0) AS abort FROM t
-LEFT JOIN (SELECT dst, max(src * 10) AS eta FROM dep WHERE src <> dst AND src < dst GROUP BY dst) ON dst = txn LEFT JOIN (SELECT src, min(dst * 10) AS pi FROM dep WHERE kind = 'rw' AND dst < src GROUP BY src) ON src = txn""")
+@query(HISTORY + """, back AS (SELECT src, dst FROM dep WHERE kind = 'rw' AND dst < src), reach AS (SELECT src, dst FROM back UNION SELECT r.src, b.dst FROM reach r JOIN back b ON b.src = r.dst)
+SELECT txn, greatest(0, coalesce(eta, 0))::BIGINT AS eta, least(commit_ts, coalesce(pi, commit_ts))::BIGINT AS pi, least(commit_ts, coalesce(pi, commit_ts)) <= coalesce(eta, 0) AS abort FROM t
+LEFT JOIN (SELECT dst, max(src * 10) AS eta FROM dep WHERE src <> dst AND src < dst GROUP BY dst) ON dst = txn LEFT JOIN (SELECT src, min(dst * 10) AS pi FROM reach GROUP BY src) ON src = txn""")
 def ssn_certifier(spark, d):
     return serial.ssn(*_history(spark, d)).select("txn", "eta", "pi", "abort")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions
+from tidemark.sources import complete
 
 
 def stream(spark: SparkSession, path: str, pattern: str | None = None, files_per_batch: int = 1) -> DataFrame:
@@ -16,19 +19,67 @@ def stream(spark: SparkSession, path: str, pattern: str | None = None, files_per
     return reader.options(**only).parquet(path)
 
 
-def replay(log: DataFrame, to: str, checkpoint: str):
-    """Ship a change log to a replica: each micro-batch goes to its own folder, which a repeated batch overwrites."""
+def replay(log: DataFrame, to: str, checkpoint: str, every: str | None = None):
+    """Ship a change log to a replica: each micro-batch goes to its own folder, which a repeated batch overwrites.
+
+    Without `every` the log is drained and the query ends; with it (as "10 seconds") the replica follows in the background at that pace.
+    """
 
     def ship(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
 
-    return log.writeStream.foreachBatch(ship).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return log.writeStream.foreachBatch(ship).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def read_view(spark: SparkSession, replica: str, keys: list[str], batch: int | None = None) -> DataFrame:
-    """The replica's table at the last complete batch, or at an earlier one."""
-    log = spark.read.option("basePath", replica).parquet(replica)
-    return versions.latest(log if batch is None else log.filter(F.col("batch") <= batch), keys).drop("batch")
+    """The replica's table at the last batch whose write, and that of all before it, has ended; or at an earlier one."""
+    done = complete(spark, replica, "batch")
+    whole = [n for i, n in enumerate(done) if n == done[0] + i and (batch is None or n <= batch)]
+    log = spark.read.option("basePath", replica).parquet(*[f"{replica}/batch={n}" for n in whole])
+    return versions.latest(log, keys).drop("batch")
+
+
+def redo(commands: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], to: str, checkpoint: str):
+    """Replay a command log (kind, and what the commands of that kind need) by running the commands again, not by shipping what they wrote.
+
+    A handler turns all commands of its kind in a batch into change rows, by the commands alone; a repeated batch so gives the same rows.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        out = None
+        for kind, handler in handlers.items():
+            rows = handler(batch.filter(F.col("kind") == kind))
+            out = rows if out is None else out.unionByName(rows)
+        out.write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+
+    return commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """The rows that a finite stream appends, as files below path; the sink's own log counts each batch once."""
+    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def apply_ticks(ticks: DataFrame, requests: DataFrame, to: str, checkpoint: str):
+    """A market feed with its effects, batch by batch: ticks (symbol, price, seq) set last prices and submit pending requests (request, symbol, kind, bid_price).
+
+    prices/ gets each batch's last price by symbol, submitted/ the requests that it triggers, each with the first tick that does so. A request
+    submitted by an earlier batch is pending no more. A repeated batch overwrites what it wrote.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.groupBy("symbol").agg(F.max_by("price", "seq").alias("price"), F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{to}/prices/batch={batch_id}")
+        before = [f"{to}/submitted/batch={n}" for n in complete(spark, f"{to}/submitted", "batch") if n < batch_id]
+        pending = requests
+        if before:
+            pending = pending.join(spark.read.parquet(*before).select("request"), "request", "left_anti")
+        hit = market_feed(batch, pending).groupBy("request").agg(F.min_by("price", "seq").alias("price"), F.min("seq").alias("seq"))
+        hit.write.mode("overwrite").parquet(f"{to}/submitted/batch={batch_id}")
+
+    return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def market_feed(ticks: DataFrame, requests: DataFrame) -> DataFrame:
