@@ -2,15 +2,18 @@
 
 A surrogate is made from an HMAC of the entity's canonical form, so one entity has one surrogate in the whole corpus,
 whatever its spelling in a place. The distinct entities are then held against each other: if two share a surrogate, or a
-surrogate is itself an entity of the corpus, all but the first get the next one, until none collide. The few that moved
-on are sent along with the texts; all others are made again where they are needed. Given names are a fixed list: a keyed
-permutation of each gender's names, without fixed points, keeps them distinct, and needs no check.
+surrogate is itself an entity of the corpus, all but the first get the next one, until none collide. After some
+attempts surrogates get longer, so there are always enough of them: then distinctness goes before length, and that
+is bounded by MOST attempts, of which the last is long enough to be distinct by its hash. The few that moved on are sent along with the texts;
+all others are made again where they are needed. Domains of addresses are entities of their own, so one domain stays one domain. Given names
+are a fixed list: a keyed permutation of each gender's names, without fixed points, keeps them distinct, and needs no check.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import discard, saved, slices
 
 KEY = b"surrogates"  # a parameter; keep the real one secret
+GROW, MOST = 6, 48  # attempts before a surrogate gets a letter longer, for each letter; attempts at all
 SEND = 50_000  # moved entities that are sent to all executors; beyond it they are joined by text
 
 # Given names by gender.
@@ -30,11 +34,13 @@ GIVEN = {
 }
 GENDER = {n.lower(): g for g, names in GIVEN.items() for n in names}
 # Titles before a name.
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Sra".split()
+TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Mme Sra".split())
+# What announces a person's full name.
+CUES = ("my name is ", "full name: ", "signed by ", "je m'appelle ", "ich heiße ", "me llamo ", "mi nombre es ", "mein name ist ")
 SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшщэюя")
 VOWELS = ("aeiou", "αεηιουω", "аеиоуэюя")
 
-_NAME = r"[^\W\d_][^\W\d_'’-]+"
+_NAME = r"[^\W\d_]{2,}(?:['’-](?![Ss]\b)[^\W\d_]+)*"
 # What an entity looks like; the first kind that matches at a place wins.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
@@ -43,10 +49,35 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d{4}(?P<sep>[\x20-]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)|\d{2,4})[\x20.-]\d{3,4}[\x20.-]?\d{3,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)",
-    "name": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?\x20{{1,2}}{_NAME}(?:\x20{_NAME})?|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)})\x20{_NAME})(?!\w)",
 }
-_NUMBERS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k not in ("email", "name")))
-_EMAIL, _PERSON, _LOCAL = re.compile(PATTERNS["email"]), re.compile(PATTERNS["name"]), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_NUMBERS = re.compile(r"(?=[\dA-Z+(])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "email") + ")")
+_MAY_HOLD_NUMBERS = re.compile(r"\d[\d\x20().-]{5}|[A-Z]{2}\d\d")  # every kind of number has one of these
+_EMAIL, _LOCAL = re.compile(PATTERNS["email"]), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_CAPITAL = re.compile(r"[A-Z][^\W\d_]*")  # what a title or a given name begins with; others need a cue
+_AFTER_TITLE, _AFTER_GIVEN, _WORD = re.compile(rf"\.?\x20{{1,2}}({_NAME})(?:\x20({_NAME}))?(?!\w)"), re.compile(rf"\x20({_NAME})(?!\w)"), re.compile(rf"{_NAME}(?!\w)")
+
+
+def people(text: str) -> Iterator[tuple[int, int, str]]:
+    """The names of persons: after a title (in any script), a given name with what follows it, and full names after a cue."""
+    end = 0
+    for m in _CAPITAL.finditer(text):
+        at = m.start()
+        if at < end or (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+            continue
+        names = []
+        if m[0] in TITLES:
+            if found := _AFTER_TITLE.match(text, m.end()):
+                names = [found.span(i) for i in (1, 2) if found[i] and not found[i][0].islower()]
+                names = names if names and names[0] == found.span(1) else []
+        elif m[0].lower() in GENDER:
+            if (found := _AFTER_GIVEN.match(text, m.end())) and not found[1][0].islower():
+                names = [m.span(), found.span(1)]
+        elif text[max(0, at - 16) : at].lower().endswith(CUES) and (first := _WORD.match(text, at)):
+            if (found := _AFTER_GIVEN.match(text, first.end())) and not found[1][0].islower():
+                names = [first.span(), found.span(1)]
+        for i, (s, e) in enumerate(names):
+            yield s, e, "given" if i == 0 and text[s:e].lower() in GENDER else "surname"
+            end = e
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -60,12 +91,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
             out.append((start, m.end(), "email"))
             at = m.end() - 1
         at = text.find("@", at + 1)
-    out += [(m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card") for m in _NUMBERS.finditer(text)]
-    for m in _PERSON.finditer(text):
-        words = [w for w in re.finditer(_NAME, m[0]) if w[0] not in TITLES]
-        if words and all(w[0][0].isupper() for w in words[: 1 if m[0].split(".")[0].split(" ")[0] in TITLES else 2]):
-            words = [w for w in words if w[0][0].isupper()]
-            out += [(m.start() + w.start(), m.start() + w.end(), "given" if i == 0 and w[0].lower() in GENDER else "surname") for i, w in enumerate(words)]
+    if _MAY_HOLD_NUMBERS.search(text):
+        out += [(m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card") for m in _NUMBERS.finditer(text)]
+    out += people(text)
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], 0
     for s in out:
@@ -78,10 +106,16 @@ def find(text: str) -> list[tuple[int, int, str]]:
 def canonical(kind: str, value: str) -> str:
     """What all spellings of one entity have in common."""
     if kind in ("card", "phone", "ssn"):
-        return "".join(c for c in value if c.isdecimal())
+        return "".join(str(unicodedata.decimal(c)) for c in value if c.isdecimal())
     return value.replace(" ", "").lower()
 
 
+def entities_of(text: str) -> set[tuple[str, str]]:
+    """(kind, canon) of the entities of a text; an address's domain is one of them."""
+    out = {(k, canonical(k, text[s:e])) for s, e, k in find(text)}
+    return out | {("domain", c.rpartition("@")[2]) for k, c in out if k == "email"}
+
+
 class Stream:
     """Keyed pseudo-random numbers."""
 
@@ -100,14 +134,36 @@ def _luhn(digits: str) -> int:
     return sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, digits[::-1]), 1)) % 10
 
 
+def _iban_rest(iban: str) -> int:
+    """An account number modulo 97; 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+@lru_cache(maxsize=65536)
+def pool_of(c: str) -> str:
+    """What a small letter may become: letters of its sort (vowel or not) in the known scripts, else those of its category and Unicode neighbourhood; a digit any digit."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return c
+    for letters, vowels in zip(SCRIPTS, VOWELS, strict=True):
+        if c in letters:
+            return vowels if c in vowels else "".join(x for x in letters if x not in vowels)
+    base, sort = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(base, base + 128)) if unicodedata.category(x) == sort and len(x.upper()) == 1 and x.upper().lower() == x.lower()) or c
+
+
 def _letters(text: str, rnd: Stream) -> str:
-    """Each letter of a known script for another of its script and sort (vowel or not), each digit for a digit."""
-    out = []
-    for c in text:
-        low = c.lower()
-        pool = next((v if low in v else "".join(x for x in s if x not in v) for s, v in zip(SCRIPTS, VOWELS, strict=True) if low in s), "0123456789" if c.isdecimal() else SCRIPTS[0] if c.isalpha() else None)
-        out.append(c if pool is None else pool[rnd.below(len(pool))])
-    return "".join(out)
+    """Each letter for another of its script and sort, each digit for a digit; the rest as it is."""
+    return "".join(p[rnd.below(len(p))] for p in map(pool_of, text))
+
+
+def _more(text: str, attempt: int, rnd: Stream) -> str:
+    """What later attempts add: letters of the text's script, at the last attempt enough to be distinct by themselves."""
+    like = next((c for c in text if c.isalpha()), "a")
+    pool = pool_of(like) if len(pool_of(like)) > 4 else SCRIPTS[0]
+    return "".join(pool[rnd.below(len(pool))] for _ in range(32 if attempt >= MOST else attempt // GROW))
 
 
 @lru_cache(maxsize=8)
@@ -124,32 +180,28 @@ def given_names(key: bytes) -> dict[str, str]:
 
 
 def surrogate(kind: str, canon: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The canonical form of an entity's surrogate; never the entity itself."""
+    """The canonical form of an entity's surrogate at an attempt. An address's is told with its own domain, which is replaced apart."""
     if kind == "given":
         return given_names(key)[canon]
     rnd = Stream(key, kind, canon, attempt)
-    while True:
-        if kind == "email":
-            local, _, domain = canon.partition("@")
-            host, _, top = domain.rpartition(".")
-            out = f"{_letters(local, rnd)}@{_letters(host, Stream(key, 'domain', domain))}.{top}"  # a domain stays one domain
-        elif kind == "ip":
-            out = ".".join(str(1 + rnd.below(254)) for _ in range(4))
-        elif kind == "iban":
-            out = canon[:2] + _letters(canon[2:], rnd)
-        elif kind in ("card", "phone", "ssn"):
-            fixed = max(0, len(canon) - 10) if kind == "phone" else 0  # a country's code stays
-            out = canon[:fixed] + str(1 + rnd.below(9)) + "".join(str(rnd.below(10)) for _ in range(len(canon) - fixed - 1))
-            if kind == "card" and _luhn(canon) == 0:
-                out = out[:-1] + str(-_luhn(out[:-1] + "0") % 10)
-        else:
-            out = _letters(canon, rnd)
-        if out != canon:
-            return out
+    if kind in ("email", "domain"):
+        name, sep, rest = canon.rpartition("@" if kind == "email" else ".")
+        return f"{_letters(name, rnd)}{_more(name, attempt, rnd)}{sep}{rest}"
+    if kind == "ip":
+        return ".".join(str(1 + rnd.below(254)) for _ in range(4 + (attempt >= GROW) * (1 + attempt // GROW)))
+    if kind == "iban":
+        out = canon[:4] + _letters(canon[4:], rnd) + "".join(str(rnd.below(10)) for _ in range(32 if attempt >= MOST else attempt // GROW))
+        check = 98 - _iban_rest(out[:2] + "00" + out[4:]) if _iban_rest(canon) == 1 else rnd.below(100)
+        return f"{out[:2]}{check:02d}{out[4:]}"
+    if kind in ("card", "phone", "ssn"):
+        fixed = max(0, len(canon) - 10) if kind == "phone" else 0  # a country's code stays
+        out = canon[:fixed] + str(1 + rnd.below(9)) + "".join(str(rnd.below(10)) for _ in range(len(canon) - fixed - 1 + (32 if attempt >= MOST else attempt // GROW)))
+        return out[:-1] + str(-_luhn(out[:-1] + "0") % 10) if kind == "card" and _luhn(canon) == 0 else out
+    return _letters(canon, rnd) + _more(canon, attempt, rnd)
 
 
 def shaped(kind: str, value: str, out: str) -> str:
-    """The surrogate in the spelling of the place: its separators and case."""
+    """The surrogate in the spelling of the place: its separators, digits and case; what it is longer comes last."""
     if kind == "ip":
         return out
     if kind == "given":
@@ -158,19 +210,32 @@ def shaped(kind: str, value: str, out: str) -> str:
     for c in value:
         if (kind in ("card", "phone", "ssn") and not c.isdecimal()) or c == " ":
             parts.append(c)
-        else:
-            x = next(chars)
-            parts.append(x.upper() if c.isupper() else x)
-    return "".join(parts)
+            continue
+        x = next(chars)
+        if c.isdecimal() and not c.isascii() and x.isascii():
+            x = chr(ord(c) - unicodedata.decimal(c) + int(x))
+        parts.append(x.upper() if c.isupper() else x)
+    return "".join([*parts, *chars])
+
+
+def replaced(kind: str, value: str, moved: dict, key: bytes) -> str:
+    """What stands for an entity as it is spelt in a place."""
+    canon = canonical(kind, value)
+    out = moved.get((kind, canon)) or surrogate(kind, canon, key)
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        return f"{shaped(kind, local, out.rpartition('@')[0])}@{replaced('domain', domain, moved, key)}"
+    if kind == "domain":
+        host, dot, top = value.rpartition(".")
+        return f"{shaped(kind, host, out.rpartition('.')[0])}{dot}{top}"
+    return shaped(kind, value, out)
 
 
 def replace(text: str, moved: dict, key: bytes) -> tuple[str, str, int]:
     """(text with surrogates, kind:start:end of what was found, how many)."""
     spans, parts, at = find(text), [], 0
     for s, e, kind in spans:
-        value = text[s:e]
-        canon = canonical(kind, value)
-        parts += [text[at:s], shaped(kind, value, moved.get((kind, canon)) or surrogate(kind, canon, key))]
+        parts += [text[at:s], replaced(kind, text[s:e], moved, key)]
         at = e
     return "".join([*parts, text[at:]]), ",".join(f"{k}:{s}:{e}" for s, e, k in spans), len(spans)
 
@@ -179,15 +244,18 @@ def entities(texts: DataFrame) -> DataFrame:
     """kind, canon of the distinct entities of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = sorted({(k, canonical(k, t[s:e])) for t in b.column(0).to_pylist() for s, e, k in find(t or "")})
+        for b in slices(batches, 4096):
+            found = sorted(set().union(*(entities_of(t) for t in b.column(0).to_pylist() if t)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "canon"])
 
     return texts.mapInArrow(run, "kind string, canon string").distinct()
 
 
 def collisions_resolved(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, canon, attempt, out: one surrogate per entity, all different and none an entity; given names are permuted among themselves, so they differ but are names of the list."""
+    """kind, canon, attempt, out: one surrogate per entity, all different and none an entity; given names are permuted among themselves, so they differ but are names of the list.
+
+    found: the distinct entities, a table. Of entities that share a surrogate the one with the fewest attempts keeps it, then the first in order.
+    """
 
     def made(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +266,18 @@ def collisions_resolved(found: DataFrame, key: bytes) -> DataFrame:
         return df.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, out string")
 
     table = saved(made(found.withColumn("attempt", F.lit(0))), "surrogates")
-    while True:
+    for _ in range(MOST):
         checked = table.filter("kind <> 'given'")
         first = checked.groupBy("kind", "out").agg(F.min(F.struct("attempt", "canon")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "out", "f.canon")
         shared = checked.join(first.select("kind", "out"), ["kind", "out"], "left_semi").join(first, ["kind", "out", "canon"], "left_anti")
         real = checked.join(found.select("kind", F.col("canon").alias("out")), ["kind", "out"], "left_semi")
         again = saved(shared.unionByName(real).select("kind", "canon").distinct(), "collided")
         if again.isEmpty():
-            return table
+            break
         moved = made(table.join(again, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1))
-        table = saved(table.join(again, ["kind", "canon"], "left_anti").unionByName(moved), "surrogates")
+        before, table = table, saved(table.join(again, ["kind", "canon"], "left_anti").unionByName(moved), "surrogates")
+        discard(before, again)
+    return table
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, send: int = SEND) -> DataFrame:
@@ -223,7 +293,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, send: int = SEND) -> DataFra
     sent = {(r.kind, r.canon): r.out for r in moved.collect()} if few else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             extra = b.column(2).to_pylist()
             out = [(None, "", 0) if t is None else replace(t, sent if few else {(m["kind"], m["canon"]): m["out"] for m in x or ()}, key) for t, x in zip(b.column(1).to_pylist(), extra, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[0] for x in out], pa.string())], ["doc_id", "n_found", "spans", "text"])
@@ -232,8 +302,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, send: int = SEND) -> DataFra
         rows = rows.withColumn("moved", F.lit(None).cast("array<struct<kind: string, canon: string, out: string>>"))
     else:  # each text that holds a moved entity gets its own few
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = sorted({(h, k, canonical(k, t[s:e])) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, e, k in find(t or "")})
+            for b in slices(batches):
+                x = sorted({(h, *e) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in entities_of(t or "")})
                 yield pa.RecordBatch.from_arrays([pa.array([y[i] for y in x], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["th", "kind", "canon"])
 
         rows = rows.withColumn("th", F.xxhash64("text"))
