@@ -42,15 +42,25 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {"<|endoftext|>"}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.added, self.is_added = added, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
 
     def ids(self, text: str) -> array:
+        """The ids of a text; the vocabulary's added tokens stand for themselves, and what is between them is encoded apart."""
+        if not any(t in text for t in self.added):
+            return self.plain(text)
+        out = array("I")
+        for part in self.is_added.split(text):
+            out.extend([self.added[part]] if part in self.added else self.plain(part))
+        return out
+
+    def plain(self, text: str) -> array:
         if " " not in text or UNSAFE.search(text):
             return array("I", self.encode(text))
         cache, encode = self.cache, self.encode
