@@ -2,7 +2,7 @@
 
 The text goes through one shuffle, after each task has combined its own equal
 texts, so that a group of copies of any size reaches a reducer as one row per
-task at most. Rows are joined back to their group by the hash, without text.
+task at most. Rows are joined back to their group by the hash, without text, large groups in parts.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, saved
+from tidemark.llm.common import LARGE, SPACE, one_row_each, saved, spread_join
 
 BIG = "10000000000000000000"  # 10**19, above any 64-bit id
 
@@ -20,7 +20,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", "")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.md5) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.md5, large: int = LARGE) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with the most code points in its original
@@ -28,7 +28,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     different texts share it, groups are told apart by their bytes.
 
     Null and empty texts are one group. Rows that repeat an id and a text share
-    its decision, since an id names one document. Null ids lose to others; a group of null ids
+    its decision, since an id names one document here (keep_first keeps one row). Null ids lose to others; a group of null ids
     alone has keep_id null and keeps its rows. An empty table gives no rows.
     Other columns are ignored whatever their names.
     """
@@ -41,18 +41,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = saved(classes.select("h", "keep_id", "group_size"), "exact-groups")
     collided = not groups.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     rows = base.withColumn("text_sha256", F.sha2("norm", 256))
-    out = rows.join(classes, ["h", "norm"]) if collided else rows.drop("norm", "length").join(groups, "h")
+    if collided:
+        out = rows.join(classes, ["h", "norm"])
+    else:
+        out = spread_join(rows.drop("norm", "length"), groups.withColumn("rows", F.col("group_size")), "h", "rows", "doc_id", large)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns; of rows that repeat id and text one stays.
+    """One row of each group of equal texts, with the columns of docs: the longest original text, then the smallest id.
 
-    Rows meet their decision by id, so an id with several texts is kept if any of them is.
+    Rows are judged one by one: of rows that repeat an id and a text one stays, rows of one id with different texts are different rows, and null ids are later
+    than all others. Columns may have any names.
     """
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out
+    text = F.col("text")
+    # longest first, then smallest id, then a hash of the original text; equal keys in a group are repeated rows
+    key = F.expr("cast(char_length(coalesce(text, '')) as decimal(10,0)) * cast('1e28' as decimal(29,0))")
+    key += F.expr("(cast('9223372036854775808' as decimal(20,0)) - coalesce(cast(cast(doc_id as bigint) as decimal(20,0)), cast('9223372036854775808' as decimal(20,0)))) * cast('1e8' as decimal(9,0))")
+    key = (key + F.pmod(F.xxhash64("text"), F.lit(10**8)).cast("decimal(9,0)")).cast("decimal(38,0)")
+    base = docs.select(normalised(text).alias("norm"), key.alias("key")).withColumn("h", F.md5("norm"))
+    best = saved(base.groupBy("h", "norm").agg(F.max("key").alias("key")).select("h", "key"), "exact-best")
+    counts = base.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n"))
+    kept = saved(best.join(counts, ["h", "key"]).select("h", "key", "n"), "exact-kept")
+    return one_row_each(docs, [F.md5(normalised(text)), key], kept)
 
 
 ORACLE = r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS len FROM documents),

@@ -5,16 +5,17 @@ buckets of like size. In a bucket two open documents are paired and probability
 expectations hold, until one is integral; the bucket's last open one goes on in a tree of fixed fan-in, until each
 class of size has one. Then the classes of a source are folded, larger first: the larger takes the mass of words that it lacks
 from the smaller or gives it what it has, at random, and so becomes integral; one that was given more than it
-can hold, or owes more than it has, passes the rest on. So the words of a source are kept up to one of its smallest
-documents and the small differences inside the classes.
+can hold, or owes more than it has, passes the rest on. So the words of a source are kept up to the document that is
+left at last and the small differences inside the classes. That holds words, not expectations: where a unit is given more than it can hold
+its choice is certain, and the last one of a source is rounded, so expected copies are near the target there, not equal to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, saved, small
+from tidemark.llm.common import WORD, free_names, saved, small
 
 FAN_IN = 64
 UNIT = "struct<doc_id: bigint, size: bigint, whole: bigint, p: double>"
@@ -66,8 +67,17 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 1) -> Dat
     has target 0 and takes none of its rows. Null ids and repeated rows are rows like others. Reruns agree: random numbers are hashes of ids and sizes. An empty table gives no rows.
     Columns other than doc_id, text and source are ignored.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    sizes = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "mix-sizes")
+    return dealt(docs, weights, most, seed).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def size_of(text: str = "text") -> Column:
+    """The words of a text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def dealt(docs: DataFrame, weights, most: int, seed: int) -> DataFrame:
+    """What mix returns, and the source."""
+    sizes = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of().alias("size")), "mix-sizes")
     sources = saved(targets(sizes, weights, most), "mix-sources")
     few = small(sources.withColumnRenamed("source", "_source"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -95,14 +105,26 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 1) -> Dat
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.join(few, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.join(few, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs.
+def mixed(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 1) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names.
 
-    Rows with one id get the largest number of copies that any of them was dealt.
+    Rows that agree in id, source and size share the copies that they were dealt together: each gets as many, and the first ones, by a hash of the text, one more.
     """
-    copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n")).filter("_n > 0")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    id_, source, size, total, rows, nth, copies = free_names(docs, "_id", "_source", "_size", "_total", "_rows", "_nth", "_copies")
+    key = [id_, source, size]
+    by = dealt(docs, weights, most, seed).groupBy(F.col("doc_id").alias(f"k{id_}"), F.col("source").alias(f"k{source}"), F.col("size").alias(f"k{size}")).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
+    by = saved(by.filter(F.col(total) > 0), "mix-copies")
+    marked = docs.withColumns({id_: F.col("doc_id").cast("long"), source: F.col("source"), size: size_of()})
+
+    def with_copies(of: DataFrame) -> DataFrame:
+        return marked.join(of, [F.col(k).eqNullSafe(F.col(f"k{k}")) for k in key])
+
+    out, several = with_copies(by.filter(F.col(rows) == 1)).withColumn(copies, F.col(total)), by.filter(F.col(rows) > 1)
+    if not several.isEmpty():
+        order = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
+        more = with_copies(small(several)).withColumn(nth, F.row_number().over(order))
+        out = out.unionByName(more.withColumn(copies, F.floor(F.col(total) / F.col(rows)) + F.when(F.col(nth) <= F.col(total) % F.col(rows), 1).otherwise(0)).drop(nth).filter(F.col(copies) > 0))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import one_row_each, saved, slices, spread_join
 from tidemark.llm.components import components
 from tidemark.llm.simhash import fingerprint, links
 from tidemark.llm.substring import cut, hashed
@@ -69,27 +69,27 @@ def band_keys(least: np.ndarray) -> list[int]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, n (its shingles), fp (the SimHash) and keys (of the bands) of each row."""
+    """doc_id, th (a hash of the text), node, n (its shingles), fp (the SimHash) and keys (of the bands) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             nodes, sizes, fps, keys = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 shingles = shingle_set((text or "").encode(), words)
                 nodes.append(node_of(shingles))
                 sizes.append(len(shingles))
                 fps.append(fingerprint(text, words))
                 keys.append(band_keys(least_hashes(shingles)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "node", "n", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, node long, n long, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node and shingles of the wanted (doc_id, node): the texts of their rows are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set((t or "").encode(), words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -113,8 +113,15 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 4, least: float
     Null and empty texts are one node, like only to each other; texts of fewer words than a shingle are like only to equal ones. Null ids are never the
     smallest; a component of null ids alone has component_id null. Repeated rows repeat. An empty table gives no rows; columns other than doc_id and text are ignored.
     """
+    told, of = components_of(docs, words, distance, least)
+    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id", "rows")
+    return spread_join(told.select("doc_id", "node"), saved(named, "copies-named"), "node", "rows", "doc_id")
+
+
+def components_of(docs: DataFrame, words: int, distance: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(the rows of docs as `signed` tells them, each node with its least doc_id and its component)."""
     told = saved(signed(docs, words), "signed")
-    nodes = saved(told.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-nodes")
+    nodes = saved(told.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")), "copy-nodes")
     # buckets of several nodes: under a band's key, under one fingerprint, and under a fingerprint's link to another
     prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(prints.select("fp"), distance)
@@ -127,9 +134,7 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 4, least: float
     heads = buckets.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     found = saved(compared(heads, sets, least).filter("alike").select("a", "b"), "alike")
     joined = united(buckets, nodes.select("node", "n"), sets, components(found), least)
-    of = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return told.select("doc_id", "node").join(named, "node")
+    return told, nodes.select("node", "least", "rows").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def united(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, joined: DataFrame, least: float) -> DataFrame:
@@ -210,7 +215,12 @@ def with_least(members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, distance: int = 4, least: float = 0.8) -> DataFrame:
-    """The document with the smallest id of each component, with the columns of docs."""
-    found = near_copies(docs, words, distance, least)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component, with the columns of docs: the one with the smallest id, then the smallest hash of its text.
+
+    Rows are judged one by one: of rows that repeat an id and a text one stays, and null ids are later than all others. Columns may have any names.
+    """
+    told, of = components_of(docs, words, distance, least)
+    rows = told.groupBy("node", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")).join(of, "node")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n")).alias("first")
+    kept = saved(rows.groupBy("component").agg(first).select("first.doc_id", "first.th", "first.n"), "copies-kept")
+    return one_row_each(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], kept)

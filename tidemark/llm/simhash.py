@@ -4,7 +4,8 @@ A fingerprint has 64 bits, and two are linked at up to 4 differing bits. Cut int
 one segment of a linked pair differs by at most one bit, as 4 bits over 3 segments leave one with at most 1.
 So each fingerprint is filed under its segments with one bit wild, 64 keys in all, and linked
 pairs meet by an equality join on a key. A pair meets under many keys; it is told
-only under the first one that its difference allows, and only at up to 4 bits.
+only under the first one that its difference allows, and only at up to 4 bits. Keys have 20 or 21 bits, so the pairs that meet grow with the
+square of the distinct fingerprints, as an exact answer at 4 bits has it; none meets twice under one key.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, spread_join
 from tidemark.llm.components import components
 
 BITS = 64
@@ -102,9 +103,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     columns other than doc_id and text are ignored.
     """
     prints = saved(fingerprints(docs, words), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
     joined = components(links(nodes.select("fp"), distance))
     of = nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = saved(of.join(least, "component").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = saved(of.join(least, "component").select("fp", "component_id", "rows"), "simhash-components")
+    return spread_join(prints, named, "fp", "rows", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 WORDS, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 16, 16, 12
 GRAMS, VOCABULARY = 1 << 13, 20_000
@@ -286,8 +288,8 @@ def scorer(key: str, net: Network) -> Scorer:
 def sample(docs: DataFrame, labels: DataFrame, learn) -> list:
     """(text, toxic) of a bounded sample of the labelled rows that learn (an expression over doc_id) holds for.
 
-    The sample's ids are few by the parameter, so they are broadcast; texts aren't moved. A label given twice counts as
-    toxic if one of the two is.
+    The sample's ids are few by the parameter, so they are broadcast; texts aren't moved. Ids are drawn first: those that are drawn but have no text, or one
+    of over SAMPLE_CHARS characters, fall out. A label given twice counts as toxic if one of the two is.
     """
     of = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
@@ -319,7 +321,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scorer(key, sent.value).scores
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(batch.column(2).to_pylist()))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
@@ -336,7 +338,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scorer(key, sent.value).scores
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scores(batch.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
