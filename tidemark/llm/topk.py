@@ -5,6 +5,9 @@ stored as bit slices, one bit per row. A query's scores are added up slice by sl
 bitmap arithmetic for all rows of the block at once, many queries side by side. The k best are selected from the most
 significant slice downward; every row whose quantised score is within the proven rounding bound of the k-th is then
 scored exactly. So the answer is exact, and most rows are never scored one by one.
+
+Queries come in blocks too, and every block of queries meets every block of rows in one join: blocks are dealt to the rows and columns of a
+grid, whose cells are its tasks, so neither side passes through the driver or has to fit into one task.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +26,10 @@ SCALE = 256
 BLOCK = 8192  # rows of the index in a block
 KEEP = 7  # bits of a component in the slices
 SIDE = 64  # queries side by side
-CHUNK = 4096  # queries sent to the executors at once
-INDEX = "n int, dims int, shift int, ids binary, low binary, slices binary, exact binary"
+CHUNK = 4096  # queries in a block
+PAIRS = 16  # pairs of blocks in a cell of the grid, once there are more pairs than blocks of rows
+INDEX = "n int, dims int, shift int, width int, at int, ids binary, slices binary, exact binary"
+ASKED = "q_n int, q_dims int, q_at int, q_ids binary, q_ints binary"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -41,41 +47,64 @@ def _matrix(rows: list, dims: int) -> np.ndarray:
     return out
 
 
-def slices_of(values: np.ndarray, keep: int = KEEP) -> tuple[np.ndarray, int, np.ndarray]:
-    """(low, shift, slices): component = low + (quantised << shift) + rest, rest in [0, 2**shift); slices[d, b] is a bitmap of bit b."""
-    low = values.min(axis=0)
-    up = values - low
+def slices_of(values: np.ndarray, keep: int = KEEP) -> tuple[int, np.ndarray]:
+    """(shift, slices): component = its least + (quantised << shift) + rest, rest in [0, 2**shift); slices[d, b] is a bitmap of bit b."""
+    up = values - values.min(axis=0)
     shift = max(0, int(up.max()).bit_length() - keep)
     words = -(-len(values) // 64)
     bits = np.zeros((values.shape[1], keep, words * 64), np.uint8)
     for b in range(keep):
         bits[:, b, : len(values)] = ((up >> (shift + b)) & 1).T
-    return low, shift, np.packbits(bits, axis=2, bitorder="little").view("<u8")
+    return shift, np.packbits(bits, axis=2, bitorder="little").view("<u8")
 
 
-def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of up to `block` rows, cut from each partition as it lies."""
+def _batch(schema: str, row: list) -> pa.RecordBatch:
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array([v], {"int": pa.int32(), "binary": pa.binary()}[t]) for v, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [], []
 
-        def out():
-            values = _matrix(vectors, max(map(len, vectors), default=0))
-            low, shift, slices = slices_of(values) if values.shape[1] else (np.zeros(0, np.int64), 0, np.zeros(0, "<u8"))
-            cols = [[len(ids)], [values.shape[1]], [shift], [np.array(ids, "<i8").tobytes()], [low.astype("<i8").tobytes()], [slices.tobytes()], [values.astype("<i8").tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 3 + [pa.binary()] * 4, strict=True)], ["n", "dims", "shift", "ids", "low", "slices", "exact"])
+def in_blocks(rows: DataFrame, size: int, make, schema: str) -> DataFrame:
+    """Blocks of up to `size` rows, cut from each partition as it lies: make(ids, vectors, number), where numbers differ between partitions."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, at = [], [], TaskContext.get().partitionId()
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 vectors.append(v)
-                if len(ids) == block:
-                    yield out()
-                    ids, vectors = [], []
+                if len(ids) == size:
+                    yield _batch(schema, make(ids, vectors, at))
+                    ids, vectors, at = [], [], at + 1
         if ids:
-            yield out()
+            yield _batch(schema, make(ids, vectors, at))
+
+    return rows.mapInArrow(run, schema)
+
+
+def index_block(ids: list, vectors: list, at: int) -> list:
+    """An INDEX row; the exact integers in as few bytes as hold them all."""
+    values = _matrix(vectors, max(1, *map(len, vectors)))
+    shift, slices = slices_of(values)
+    width = next(w for w in (2, 4, 8) if w == 8 or np.abs(values).max() < 1 << (8 * w - 1))
+    return [len(ids), values.shape[1], shift, width, at, np.array(ids, "<i8").tobytes(), slices.tobytes(), values.astype(f"<i{width}").tobytes()]
+
+
+def query_block(ids: list, vectors: list, at: int) -> list:
+    """An ASKED row."""
+    values = _matrix(vectors, max(1, *map(len, vectors)))
+    return [len(ids), values.shape[1], at, np.array(ids, "<i8").tobytes(), values.astype("<i8").tobytes()]
 
-    return rows.mapInArrow(run, INDEX)
+
+def grid(rows: int, queries: int, row_bytes: int, query_bytes: int) -> tuple[int, int]:
+    """(bands of blocks of rows, bands of blocks of queries) of a grid where each cell has about PAIRS pairs and little is copied.
+
+    Each block of rows goes to every band of queries and the other way round, so the bands are weighed by the bytes of the sides.
+    """
+    if not rows or not queries:
+        return 1, 1
+    cells = max(rows, -(-rows * queries // PAIRS))
+    columns = min(queries, max(1, round((cells * query_bytes / max(1, row_bytes)) ** 0.5)))
+    return max(1, min(rows, -(-cells // columns))), columns
 
 
 def add_slices(slices: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
@@ -147,7 +176,7 @@ def at_least(scores: list[np.ndarray], valid: np.ndarray, bound: np.ndarray) ->
 def search_block(block: dict, q_ids: np.ndarray, q_ints: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, row ids, scores) of each query's k best rows in a block, its own id left out."""
     n, dims, shift = block["n"], block["dims"], block["shift"]
-    ids, exact = np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["exact"], "<i8").reshape(n, dims)
+    ids, exact = np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["exact"], f"<i{block['width']}").reshape(n, dims)
     words = -(-n // 64)
     slices = np.frombuffer(block["slices"], "<u8").reshape(dims, KEEP, words)
     valid = np.packbits(np.arange(words * 64) < n, bitorder="little").view("<u8")
@@ -163,52 +192,39 @@ def search_block(block: dict, q_ids: np.ndarray, q_ints: np.ndarray, k: int) ->
         for i, row in enumerate(near):
             found = np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
             found = found[ids[found] != q_ids[at + i]]
-            s = exact[found] @ q[i]
+            s = exact[found].astype(np.int64) @ q[i]
             best = np.lexsort((ids[found], -s))[:k]
             yield np.full(len(best), q_ids[at + i]), ids[found][best], s[best]
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows with the largest integer inner product, ties to the smaller id.
 
     Queries are the rows that is_query (a column expression over vec_id) holds for, candidates all rows but those of the query's own id.
     Null vectors, ids, and vectors with null or non-finite components take no part. Shorter vectors count as
     padded with zeros. Of rows that repeat an id, all are candidates, and the least vector asks. An empty table gives no rows.
     Columns other than vec_id and embedding are ignored. Scores must fit 64 bits.
-    Queries reach the executors in chunks of fixed size, each in one pass over the index.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors)
-    index = saved(build_index(rows), "bit-slices")
-    asked = saved(rows.filter(is_query).groupBy("vec_id").agg(F.min("ints").alias("ints")), "queries")
-    hits: list[DataFrame] = []
-
-    def one_pass(chunk: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in chunk], np.int64), _matrix([r.ints for r in chunk], max(len(r.ints) for r in chunk))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in batch.to_pylist():
-                    if not block["dims"]:
-                        block |= {"dims": 1, "low": b"\0" * 8, "slices": b"\0" * (8 * KEEP * -(-block["n"] // 64)), "exact": b"\0" * (8 * block["n"])}
-                    parts = list(search_block(block, *sent.value, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["query_id", "vec_id", "score"])
-
-        return saved(index.mapInArrow(run, "query_id long, vec_id long, score long"), "hits")
-
-    chunk: list = []
-    for r in asked.toLocalIterator():
-        chunk.append(r)
-        if len(chunk) == CHUNK:
-            hits.append(one_pass(chunk))
-            chunk = []
-    if chunk:
-        hits.append(one_pass(chunk))
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for h in hits:
-        out = out.unionByName(h)
+    index = saved(in_blocks(rows, block, index_block, INDEX), "bit-slices")
+    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("ints").alias("ints"))
+    asked = saved(in_blocks(queries, chunk, query_block, ASKED), "queries")
+    sizes = [t.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(c)), F.lit(0))).first() for t, c in ((index, "exact"), (asked, "q_ints"))]
+    bands, columns = grid(sizes[0][0], sizes[1][0], sizes[0][1], sizes[1][1])
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("band", F.pmod("at", F.lit(bands))).withColumn("column", spread(columns))
+    right = asked.withColumn("column", F.pmod("q_at", F.lit(columns))).withColumn("band", spread(bands))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in batch.to_pylist():
+                q_ids, q_ints = np.frombuffer(pair["q_ids"], "<i8"), np.frombuffer(pair["q_ints"], "<i8").reshape(pair["q_n"], pair["q_dims"])
+                parts = list(search_block(pair, q_ids, q_ints, k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["query_id", "vec_id", "score"])
+
+    hits = saved(left.join(right, ["band", "column"]).mapInArrow(run, "query_id long, vec_id long, score long"), "hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
