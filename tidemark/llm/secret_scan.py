@@ -18,6 +18,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved, small
+
 LIMIT = 64  # strings that a part of an expression may stand for
 
 
@@ -144,13 +146,14 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Null and empty texts have no spans. Equal or null ids share candidates, never spans: each row's own text
-    is searched. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    is searched. Columns other than doc_id and text are ignored; an empty table gives no rows. Candidates are sent to the texts if
+    they were counted to be few, else both are shuffled.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for c in q for g in c})
-    found = candidates(index(docs, grams), queries).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    found = saved(candidates(index(docs, grams), queries).withColumnRenamed("doc_id", "_id"), "candidates")
+    rows = docs.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     empty = "cast(array() AS array<struct<start: bigint, at: int, end: bigint, kind: string>>)"
     each = {r.kind: F.expr(f"CASE WHEN array_contains(kinds, '{r.kind}') THEN {spans_of(r, i)} ELSE {empty} END" if r.kind in queries else spans_of(r, i)) for i, r in enumerate(rules)}
     rows = rows.select("doc_id", *[c.alias(f"s_{k}") for k, c in each.items()])
