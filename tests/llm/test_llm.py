@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.compare import same
-from tidemark.llm import exact_dedup, license_scan, mixing, near_copies, packing, pii, queries, secret_scan, simhash, substring, topk, toxicity
+from tidemark.llm import common, exact_dedup, license_scan, mixing, near_copies, packing, pii, queries, secret_scan, simhash, substring, topk, toxicity
 
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 ROWS = [
@@ -24,10 +25,27 @@ def docs(spark):
     return spark.createDataFrame([(i, t, s, "en", 0, "h") for i, t, s in ROWS], "doc_id long, text string, source string, norm string, size int, h string")
 
 
-OPERATORS = [mixing.mix, secret_scan.scan, license_scan.scan, simhash.near_duplicates, exact_dedup.exact_duplicates, near_copies.near_copies, packing.packed, substring.dedup, pii.pseudonymise]
+def _labels(docs):
+    return docs.sparkSession.createDataFrame([(1, 1, 0), (2, 1, 1), (7, 0, 1), (8, 1, 0), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
 
 
-@pytest.mark.parametrize("f", OPERATORS, ids=lambda f: f.__module__)
+def toxic(docs):
+    return toxicity.toxicity(docs, _labels(docs))
+
+
+def unlabelled(docs):
+    return toxicity.toxicity(docs, _labels(docs).limit(0))
+
+
+def clean(docs):
+    """All rows here, as none is toxic to a network without labels."""
+    return toxicity.clean(docs, _labels(docs).limit(0))
+
+
+OPERATORS = [toxic, unlabelled, clean, mixing.mix, secret_scan.scan, license_scan.scan, simhash.near_duplicates, exact_dedup.exact_duplicates, near_copies.near_copies, packing.packed, substring.dedup, pii.pseudonymise]
+
+
+@pytest.mark.parametrize("f", OPERATORS, ids=lambda f: f"{f.__module__}.{f.__name__}")
 def test_rows_are_whole(docs, f):
     got = f(docs).collect()
     if f is not packing.packed:
@@ -42,11 +60,20 @@ def test_matches_sql(spark, small, name):
     assert same(queries.QUERIES[name](spark, small), queries.ORACLES[name], small)
 
 
-def test_collided_hashes_are_told_apart(docs):
-    from pyspark.sql import functions as F
+def test_large_groups_in_parts(spark):
+    """Rows of large groups meet their group's row once, whatever the number of parts."""
+    rows = spark.createDataFrame([(i, "a" if i % 3 else f"k{i % 30}") for i in range(600)] + [(None, "a")], "doc_id long, g string")
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    want = Counter(map(tuple, rows.join(groups.drop("n"), "g").collect()))
+    for large in (10**6, 100, 7, 1):
+        assert Counter(map(tuple, common.spread_join(rows, groups, "g", "n", "doc_id", large).collect())) == want
+    assert common.spread_join(rows.limit(0), groups.limit(0), "g", "n", "doc_id").collect() == []
+
 
+def test_collided_hashes_are_told_apart(docs):
     sure = sorted(map(repr, exact_dedup.exact_duplicates(docs).collect()))
     assert sorted(map(repr, exact_dedup.exact_duplicates(docs, hash_of=lambda c: F.lit("same")).collect())) == sure
+    assert sorted(map(repr, exact_dedup.exact_duplicates(docs, large=1).collect())) == sure
 
 
 def test_mix_is_near_its_targets(spark):
@@ -123,7 +150,25 @@ def test_top_k_ties_and_bad_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     ok = {i: [int(np.floor(256 * x)) for x in v] + [0] * (3 - len(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = {(q, r + 1, c, -s) for q in ok if q % 50 == 0 for r, (s, c) in enumerate(sorted((-sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), c) for c in ok if c != q)[:5])}
-    assert {tuple(r) for r in topk.top_k(df, df["vec_id"] % 50 == 0).collect()} == want
+    for how in ({}, {"block": 7, "chunk": 2}):  # also as a grid of several bands and columns
+        got = [tuple(r) for r in topk.top_k(df.withColumns({"n": F.lit(1), "band": F.lit(2), "ints": F.lit(3)}).repartition(3), F.col("vec_id") % 50 == 0, **how).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+    assert topk.grid(122_000, 5_000, 10**12, 10**10)[1] > 1 and topk.grid(0, 0, 0, 0) == (1, 1)
+
+
+def test_top_k_by_plain_products(spark):
+    """Large and negative components, several widths, and repeated rows."""
+    r = np.random.default_rng(2)
+    rows = [(i, (r.normal(size=20) * 10.0 ** (i % 4)).tolist()) for i in range(400)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = np.array([np.floor(256 * np.array(v)) for _, v in rows], np.int64)
+    want = set()
+    for q in range(0, 400, 50):
+        s = ints @ ints[q]
+        best = sorted((-int(s[i]), rows[i][0]) for i in range(800) if rows[i][0] != q)[:5]
+        want |= {(q, k + 1, i, -x) for k, (x, i) in enumerate(best)}
+    assert {tuple(x) for x in topk.top_k(df, df["vec_id"] % 50 == 0, block=64, chunk=3).collect()} == want
 
 
 def _substring_by_windows(rows, window=20):
@@ -157,9 +202,8 @@ def test_packing_by_tokenizers(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     e = packing.encoder(packing.tokenizer_path())
-    for text in [*(r[1] or "" for r in ROWS), "a  b   c \n d\n\n e\t f ", " <|endoftext|> it's 12 x", "  　 日本 語 "]:
+    for text in [*(r[1] or "" for r in ROWS), "a  b   c \n d\n\n e\t f ", " <|endoftext|> it's 12 x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  c <|endoftext", "  　 日本 語 "]:
         assert list(e.ids(text)) == t.encode(text, add_special_tokens=False).ids
     got = packing.packed(docs).collect()
     by = defaultdict(list)
@@ -204,6 +248,14 @@ def test_prefix_join_by_all_pairs(spark):
     assert got == {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])} and got
 
 
+def test_packed_by_each_capacity(spark):
+    """Tokens, documents and attention cost bind in turn."""
+    df = spark.createDataFrame([(i, "a b c d e f g") for i in range(40)], "doc_id long, text string")  # 8 tokens each
+    for how, most in (({}, 40), ({"documents": 3}, 3), ({"cost": 5 * 64}, 5), ({"size": 16}, 2)):
+        sequences = Counter(r.sequence_id for r in packing.packed(df, **how).collect())
+        assert max(sequences.values()) == most and len(sequences) == -(-40 // most)
+
+
 def test_best_fit_keeps_all_capacities():
     lengths = np.array(sorted(np.random.default_rng(1).integers(1, 100, 300), reverse=True))
     for rule in ("norm", "dot"):
@@ -226,13 +278,69 @@ def test_surrogates(docs, spark):
     assert pii._luhn(card.replace(" ", "")) == 0 and [len(x) for x in card.split()] == [4, 4, 4, 4]
 
 
-def test_moved_surrogates_by_join_or_by_broadcast(spark, monkeypatch):
-    real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", real)
-    found = spark.createDataFrame([("surname", c) for c in ("ab", "ac", "ad", "bb")], "kind string, canon string")
+ADDRESSES = ["_@a.com", "_@u.com", "_@b.com", "_@d.net", "_@e.org", "_@g.com", "_@o.com", "_@o.net", "a@x.org", "b@x.org", "c@x.org"]
+
+
+def _mapping(df, **how):
+    """(kind, canonical form) to the surrogates that stand for it in the output, by place."""
+    texts = {r.doc_id: r.text for r in df.collect()}
+    out = defaultdict(set)
+    for r in pii.pseudonymise(df, **how).collect():
+        text, moved = texts[r.doc_id] or "", 0
+        assert r.n_found == len(pii.find(text)) and (r.n_found or r.text == texts[r.doc_id])
+        spans = pii.find(text)
+        for i, (s, e, kind) in enumerate(spans):
+            rest = text[e : spans[i + 1][0] if i + 1 < len(spans) else len(text)]
+            assert text[spans[i - 1][1] if i else 0 : s] == r.text[(at := s + moved) - (s - (spans[i - 1][1] if i else 0)) : at]
+            stop = r.text.index(rest, at + 1) if rest else len(r.text)
+            while rest and i + 1 == len(spans) and r.text[stop:] != rest:
+                stop = r.text.index(rest, stop + 1)
+            out[kind, pii.canonical(kind, text[s:e])].add(pii.canonical(kind, r.text[at:stop]))
+            moved += stop - at - (e - s)
+    return out
+
+
+@pytest.mark.parametrize("send", [pii.SEND, 0])
+def test_surrogates_of_short_addresses(spark, send):
+    """Distinct in, distinct out, none an address of the corpus; moved ones by broadcast and by join."""
+    letters = [f"q@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]  # every one-letter host is taken
+    df = spark.createDataFrame([(i, f"mail {m} now; {m.upper()} too.") for i, m in enumerate(ADDRESSES + letters)] + [(None, None), (99, "")], "doc_id long, text string")
+    got = _mapping(df, send=send)
+    outs = [x for v in got.values() for x in v]
+    assert len(got) == len(ADDRESSES + letters) and all(len(v) == 1 for v in got.values())
+    assert len(set(outs)) == len(outs) and not set(outs) & {c for _, c in got}
+    assert len({x.partition("@")[2] for x in outs}) == len({m.partition("@")[2] for m in ADDRESSES + letters})
+
+
+def test_surrogates_end_and_stay_apart(spark):
+    """All short names at once: more entities than surrogates of their length."""
+    names = [a + b for a in "aeiou" for b in "aeiou"]
+    found = spark.createDataFrame([("surname", n) for n in names] + [("ssn", f"00000000{i}") for i in range(10)], "kind string, canon string")
     table = pii.collisions_resolved(found, b"k").collect()
-    outs = [r.out for r in table]
-    assert len(set(outs)) == 4 and not set(outs) & {"ab", "ac", "ad", "bb"}
+    outs = [(r.kind, r.out) for r in table]
+    assert len(set(outs)) == len(outs) == 35 and not {o for _, o in outs} & {r.canon for r in found.collect()}
+    assert max(r.attempt for r in table) >= pii.GROW and all(r.out.isalpha() == (r.kind == "surname") for r in table)
+
+
+def test_surrogates_by_place(spark, small):
+    """The whole query's table: each entity has one surrogate of its kind, all differ, and nothing else changes."""
+    got = _mapping(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    assert got and all(len(v) == 1 for v in got.values())
+    for kind in {k for k, _ in got}:
+        outs = [next(iter(v)) for (k, _), v in got.items() if k == kind]
+        assert len(set(outs)) == len(outs) and (kind == "given" or not set(outs) & {c for k, c in got if k == kind})
+
+
+def test_surrogates_keep_script_and_format():
+    import unicodedata
+
+    for text, script in (("محمد", "ARABIC"), ("שלום", "HEBREW"), ("王小明", "CJK"), ("иванов", "CYRILLIC"), ("παπας", "GREEK"), ("ぁかさ", "HIRAGANA"), ("müller", "LATIN"), ("김철수", "HANGUL")):
+        out = pii.surrogate("surname", text, b"k")
+        assert out != text and len(out) == len(text) and all(unicodedata.name(c).startswith(script) for c in out)
+    assert pii._iban_rest(pii.surrogate("iban", "DE89370400440532013000", b"k")) == 1
+    assert pii.replace("Dr Ann Patel-Rao's", {}, b"k")[0].endswith("'s") and [x[2] for x in pii.find("my name is Wei Chen, says Dr علي")] == ["surname"] * 3
+    assert pii.find("name: Wei and New York, Dr who") == []
+    assert pii.replace("call ٥٥٥-٤٤٤-٣٣٣٣", {}, b"k")[0].translate({x: "0" for x in range(0x660, 0x66A)}) == "call 000-000-0000"
 
 
 def test_toxicity_learns():
@@ -255,6 +363,147 @@ def test_pipeline_stages_keep_clean_documents(spark, small, docs):
     assert hashlib.sha256(b"").hexdigest() == substring.dedup(docs.filter("doc_id = 4")).first().kept_sha256
 
 
+X, Y, Z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+ODD = [(None, X), (1, X), (1, X), (2, X), (None, Y), (None, Y), (3, Z), (3, Z + " more"), (4, ""), (5, None), (None, " "), (6, Z + " more words")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, null ids, one id with two texts, and columns named as those that operators make."""
+    extra = "_kept int, _id int, _n int, _k int, _key0 int, _key1 int, h int, key int, n int, node int, th int, component int, copies int, size int, `a.b` int"
+    return spark.createDataFrame([(i, t, "s" if i else None, *range(15)) for i, t in ODD], f"doc_id long, text string, source string, {extra}")
+
+
+def test_exact_stage_judges_rows(odd):
+    out = exact_dedup.keep_first(odd)
+    assert out.columns == odd.columns and out.schema == odd.schema
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, X), (None, Y), (3, Z), (3, Z + " more"), (6, Z + " more words"), (None, " ")], key=repr)
+    assert exact_dedup.keep_first(odd.limit(0)).collect() == []
+
+
+def test_near_copies_stage_judges_rows(odd):
+    out = near_copies.keep_one(odd)
+    assert out.columns == odd.columns and out.schema == odd.schema
+    got = out.collect()
+    kept = {r.text for r in got if r.doc_id == 3}
+    assert len(kept) == 1 and kept <= {Z, Z + " more"}  # both are near copies of 6, and of one id the smaller hash stays
+    assert sorted(((r.doc_id, r.text) for r in got if r.doc_id != 3), key=repr) == sorted([(1, X), (None, Y), (4, "")], key=repr)
+    assert near_copies.keep_one(odd.limit(0)).collect() == []
+
+
+def test_mixing_stage_judges_rows(odd):
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns and out.schema == odd.schema
+    want, got = Counter(), Counter((r.doc_id, len((r.text or "").split())) for r in out.collect())
+    for r in mixing.mix(odd).collect():
+        want[r.doc_id, r["size"]] += r.copies
+    assert got == +want and max(Counter(out.collect()).values()) <= 3 * 2  # two equal rows
+    assert mixing.mixed(odd.limit(0)).collect() == []
+
+
+def _water_filled(sizes, weights=(1, 2, 3), most=3):
+    """Targets by sharing again and again what is over."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, target, left = {s: weights[i % 3] for i, s in enumerate(names)}, dict.fromkeys(names, 0.0), float(sum(sizes.values()))
+    open_ = set(names)
+    while left > 1e-9 and open_:
+        share, left = left / sum(weight[s] for s in open_), 0.0
+        for s in sorted(open_, key=str):
+            target[s] += share * weight[s]
+            if target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = float(most * sizes[s])
+                open_.discard(s)
+    return target
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "made"])
+def test_mix_of_whole_tables(spark, small, table):
+    """op1 against targets by plain water-filling and counts by Python; sources with few words among them."""
+    if table == "made":
+        rows = [(i, "w " * (i % 7), f"s{min(i % 40, 5)}" if i % 9 else None) for i in range(400)] + [(1000, "w " * 50, "a"), (1001, "", "empty")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix(df)
+    else:
+        folder = small.replace("sf0.001", table)
+        df, out = spark.read.parquet(f"{folder}/documents.parquet"), queries.op1_mixing(spark, folder)
+    rows = {r.doc_id: (r.source, len([x for x in (r.text or "").encode().split() if x])) for r in df.collect()}
+    sizes = Counter()
+    for s, n in rows.values():
+        sizes[s] += n
+    target, taken, largest = _water_filled(sizes), Counter(), Counter()
+    for r in out.collect():
+        source, n = rows.pop(r.doc_id)
+        assert (r["size"], r.source_size) == (n, sizes[source]) and abs(r.target - target[source]) < 1e-6 * (1 + target[source])
+        assert r.taken == r.copies * n and 0 <= r.copies <= 3
+        taken[source] += r.taken
+        largest[source] = max(largest[source], n)
+    assert not rows and all(abs(taken[s] - target[s]) <= max(0.02 * target[s], largest[s]) for s in sizes)
+
+
+def test_simhash_of_whole_table(spark, small):
+    """op6 against all pairs of fingerprints, made by counting."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op6_simhash(spark, small).collect()}
+    fps = {}
+    for i, t in texts.items():
+        ws = (t or "").encode().lower().split()
+        hs = [xxhash.xxh64_intdigest(b" ".join(ws[k : k + 4]), 42) for k in range(max(1, len(ws) - 3))] if ws else []
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    want = _components(list(fps.items()), lambda a, b: (a ^ b).bit_count() <= 4)
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+def _pieces(texts):
+    """(doc_id, piece, start, length, crc) by the tokenizers package."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    out = []
+    for i, text in texts:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048
+        for k, (s, e) in enumerate(zip([0, *range(first, len(ids), 2048)], [first, *range(first + 2048, len(ids) + 1, 2048)], strict=True)):
+            out.append((i, k, s, e - s, zlib.crc32(ids[s:e].tobytes())))
+    return out
+
+
+def _check_packed(got, texts):
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(_pieces(texts))
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for x in by.values():
+        x.sort()
+        assert x[0][0] == 0 and sum(n for _, n in x) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False))
+    assert len(by) <= -(-sum(r.length for r in got) // 2048) * 1.02 + 1
+
+
+def test_packing_of_whole_table(spark, small):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    _check_packed(queries.op9_packing(spark, small).collect(), texts)
+
+
+def test_pipeline_end_to_end(spark, small):
+    """run() against each stage by brute force on what the one before kept; the network's and the mix's decisions are taken as they are."""
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    bad = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("predicted = 1").collect()}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id not in bad}
+    first = {}
+    for i in sorted(rows, key=lambda i: (-len(rows[i].text or ""), i)):
+        first.setdefault(b"".join((rows[i].text or "").encode().split()), i)
+    left = sorted(first.values())
+    of = _components([(i, rows[i].text) for i in left], _jaccard(5))
+    left = sorted(set(of.values()))
+    clean = docs.filter(docs["doc_id"].isin(left))
+    copies = {r.doc_id: r.copies for r in mixing.mix(clean).collect()}
+    texts = [(i, rows[i].text) for i in left for _ in range(copies[i])]
+    _check_packed(corpus_pipeline.run(spark, small).collect(), texts)
+
+
 NOTICES = {
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -291,6 +540,35 @@ def test_given_names_stay_apart(spark):
     assert len({r.text for r in got}) == len(people)
 
 
+def test_toxicity_of_odd_rows(docs, spark):
+    """Null and empty texts score 0, equal texts alike whatever their other columns, and clean keeps each row as it is."""
+    got = defaultdict(set)
+    texts = {r[0]: r[1] for r in ROWS}
+    for r in toxic(docs).collect():
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= toxicity.THRESHOLD)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        got[texts[r.doc_id]].add(r.score)
+    assert all(len(v) == 1 for v in got.values()) and got[None] == got[""] == {0.0}
+    odd = docs.withColumns({"score": F.lit(1), "predicted": F.lit(1), "_id": F.lit(2), "_toxic": F.lit(3)})
+    assert toxicity.clean(odd, _labels(docs)).schema == odd.schema
+    judged = {(r.doc_id, r.predicted) for r in toxic(odd).collect()}
+    kept = {r.doc_id for r in toxicity.clean(odd, _labels(docs)).collect()}
+    assert kept == {i for i, p in judged if not p}
+
+
+def test_toxicity_held_out(spark, small):
+    """Quality on labels that it never learns from, on the 0.1 tables."""
+    folder = small.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = queries.op4_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert hit / sum(r.predicted for r in got) > 0.8 and hit / sum(r.toxic for r in got) > 0.8
+    order = sorted(got, key=lambda r: r.score)
+    ranks = sum(i for i, r in enumerate(order) if r.toxic)
+    bad = sum(r.toxic for r in got)
+    assert (ranks - bad * (bad - 1) / 2) / (bad * (len(got) - bad)) > 0.95
+
+
 def test_toxicity_reads_long_words_whole():
     long = "ab" * 100
     texts = [long + end for end in ("", "xyzxyz", "qqqwww")] + ["字" * 70 + "甲乙丙", "字" * 70 + "丁戊己"]
