@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from tidemark.llm.common import saved
+from tidemark.llm.common import only_kept, saved
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,12 @@ ORACLE_SQL = None  # a trained network and a tokenizer are among the stages
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage saves on its way is deleted once its result is written, and that once the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    with only_kept(spark) as kept:
+        for name, stage in STAGES[:-1]:
+            with only_kept(spark) as here:
+                docs = saved(stage(spark, docs, sf_dir), name)
+                here.append(docs)
+        kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
