@@ -10,11 +10,9 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +42,38 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def grams(word: str) -> list[int]:
-    """Hashed character n-grams, 3 and 4 bytes long, of a word with its ends marked."""
-    raw = f"<{word}>".encode()
-    return [zlib.crc32(raw[i : i + n]) % GRAMS for n in (3, 4) for i in range(len(raw) - n + 1)] or [0]
+def _crc_table() -> np.ndarray:
+    """What a byte does to the remainder of the CRC-32 of zlib."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, np.uint32(0xEDB88320) ^ (t >> np.uint32(1)), t >> np.uint32(1))
+    return t
+
+
+_CRC = _crc_table()
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed character n-grams of all words, one word after the other, and how many each has): first those of 3 bytes, then those of 4, of a word with its ends marked.
+
+    A word has one character at least, so with its marks it has an n-gram. The hash is the CRC-32 of the bytes, taken for all places at once.
+    """
+    raw = [f"<{w}>".encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data = np.frombuffer(b"".join(raw) + b"\0\0\0", np.uint8)
+    state, hashes = np.full(int(size.sum()), 0xFFFFFFFF, np.uint32), []
+    for n in range(4):
+        state = _CRC[(state ^ data[n : n + len(state)]) & np.uint32(255)] ^ (state >> np.uint32(8))
+        hashes.append(~state % np.uint32(GRAMS))
+    end = np.cumsum(size)
+    count = (size - 2) + (size - 3)
+    first = np.cumsum(count) - count
+    place = np.arange(len(state)) - np.repeat(end - size, size)  # in its word
+    out = np.empty(int(count.sum()), np.int64)
+    for n, skip in ((3, 0), (4, size - 2)):
+        there = place <= np.repeat(size - n, size)
+        out[(np.repeat(first + skip, size) + place)[there]] = hashes[n - 1][there]
+    return out, count
 
 
 @dataclass
@@ -156,12 +182,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int | None
         net.p["out"][:] = 0
         return net
     known = np.array([0, *(vocab.get(w, 0) for w in words)], np.int32)
-    flat_grams, sizes = array("H", [0]), array("H", [1])
-    for w in words:
-        flat_grams.extend(g := grams(w))
-        sizes.append(len(g))
-    g_ids, g_count = np.asarray(flat_grams), np.asarray(sizes).astype(np.float32)
-    g_first = np.concatenate(([0], np.cumsum(np.asarray(sizes), dtype=np.int64)))
+    g_ids, sizes = grams(words)
+    g_ids, sizes = np.concatenate(([0], g_ids)).astype(np.uint16), np.concatenate(([1], sizes))
+    g_count, g_first = sizes.astype(np.float32), np.concatenate(([0], np.cumsum(sizes)))
     del number, words
     owner = np.repeat(np.arange(len(docs)), [len(windows(len(d))) for d in docs])
     rows, at = np.zeros((len(owner), WORDS), np.int32), 0
@@ -247,9 +270,8 @@ class Scorer:
         if new:
             at = len(number) + 1
             number |= {w: at + i for i, w in enumerate(new)}
-            gs = list(map(grams, new))
-            n = np.array(list(map(len, gs)), np.float32)
-            chars = _mean_grams(p, np.fromiter(chain.from_iterable(gs), np.int64, int(n.sum())), n)
+            g_ids, n = grams(new)
+            chars = _mean_grams(p, g_ids, n.astype(np.float32))
             x = np.concatenate([p["word"][[self.net.vocab.get(w, 0) for w in new]], chars], axis=1)
             for way in "fb":
                 while len(self.table[way]) < at + len(new):
