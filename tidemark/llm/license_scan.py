@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 #: What separates words, before and after A-Z become lower case.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-IN_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 # Base phrases with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Well-known license notices, as words in lower case.
@@ -47,66 +46,73 @@ def words_of(text: str) -> str:
 
 
 def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
-    """How many documents hold each word of the templates: one row per word reaches the driver. All documents count."""
-    words = docs.select(F.expr(f"split(lower({words_of('text')}), ' ')").alias("w")).select(F.explode(F.array_intersect("w", F.array(*map(F.lit, vocabulary)))).alias("word"))
+    """How many documents hold each word of the templates: one row per word reaches the driver. All documents count. docs: ws, the words of each."""
+    words = docs.select(F.explode(F.array_intersect("ws", F.array(*map(F.lit, vocabulary)))).alias("word"))
     return {r.word: r.n for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def contained(templates: Sequence[tuple[str, str]], threshold: float, freq: dict[str, int]) -> str:
-    """SQL over `text`: array of struct(label, score) of the templates that some line or run of words holds to the threshold."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (freq.get(w, 0), w))
-    at = {w: i for i, w in enumerate(vocabulary)}
-    index: dict[str, list[tuple[int, int]]] = {}
-    rows = []
-    for n, (label, text) in enumerate(templates):
-        ws = sorted(set(text.split()), key=at.__getitem__)
-        need = math.ceil(threshold * len(ws) - 1e-9)
-        rows.append(f"named_struct('label', {_S(label)}, 'words', array({', '.join(map(_S, ws))}), 'need', {need}, 'len', {len(text.split())})")
-        for i, w in enumerate(ws[: len(ws) - need + 1]):
-            index.setdefault(w, []).append((n, i))
-    table = f"array({', '.join(rows)})"
-    entry = lambda es: "array(" + ", ".join(f"named_struct('t', {n}, 'i', {i})" for n, i in es) + ")"
-    probe = f"map({', '.join(f'{_S(w)}, {entry(es)}' for w, es in sorted(index.items(), key=lambda x: at[x[0]]))})"
-    order = f"array({', '.join(map(_S, vocabulary))})"
-    gate = _S(rf"(?i)(?<!{IN_WORD})(?:{'|'.join(index)})(?!{IN_WORD})")  # whole words, so that few texts and lines pass
-    block = f"array_intersect({order}, split(lower({words_of('l')}), ' '))"  # in the common order
-    blocks = f"transform(filter(split(text, '\\n'), l -> rlike(l, {gate})), l -> {block})"
-    # for each block: index entries of its words, filtered by length and position, then verified
-    positional = "1 + least(size(element_at(tab, e.t + 1).words) - e.i, size(b) - j) - 1 >= element_at(tab, e.t + 1).need"
-    positional = positional.replace("tab", table)
-    hits = f"array_distinct(transform(filter(flatten(transform(b, (w, j) -> transform(coalesce(element_at({probe}, w), array()), e -> named_struct('t', e.t, 'i', e.i, 'j', j)))), e -> size(b) >= element_at({table}, e.t + 1).need AND {positional.replace(' j)', ' e.j)')}), e -> e.t))"
-    scored = f"transform({hits}, t -> named_struct('label', element_at({table}, t + 1).label, 'n', size(array_intersect(element_at({table}, t + 1).words, b)), 'need', element_at({table}, t + 1).need, 'of', size(element_at({table}, t + 1).words)))"
-    found = f"concat(flatten(transform({blocks}, b -> filter({scored}, x -> x.n >= x.need))), {runs(table, probe)})"
-    return f"CASE WHEN rlike(text, {gate}) THEN transform({found}, x -> named_struct('label', x.label, 'score', cast(x.n AS double) / x.of)) ELSE cast(array() AS array<struct<label: string, score: double>>) END"
-
-
-def runs(table: str, probe: str) -> str:
-    """SQL over `text`: the templates that a run of words holds, each run as long as the template, wherever lines end.
+class Index:
+    """The prefix index of the templates, as SQL constants: words in order, templates, and the entries (template, place) of each index word."""
+
+    def __init__(self, templates: Sequence[tuple[str, str]], threshold: float, freq: dict[str, int]) -> None:
+        vocabulary = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (freq.get(w, 0), w))
+        at = {w: i for i, w in enumerate(vocabulary)}
+        entries: dict[str, list[str]] = {}
+        rows = []
+        for n, (label, text) in enumerate(templates):
+            ws = sorted(set(text.split()), key=at.__getitem__)
+            need = math.ceil(threshold * len(ws) - 1e-9)
+            rows.append(f"named_struct('label', {_S(label)}, 'words', array({', '.join(map(_S, ws))}), 'need', {need}, 'len', {len(text.split())})")
+            for i, w in enumerate(ws[: len(ws) - need + 1]):
+                entries.setdefault(w, []).append(f"named_struct('t', {n + 1}, 'i', {i})")
+        self.order = f"array({', '.join(map(_S, vocabulary))})"
+        self.words = f"array({', '.join(map(_S, entries))})"
+        self.probe = f"map({', '.join(f'{_S(w)}, array({", ".join(es)})' for w, es in entries.items())})"
+        self.template = f"element_at(array({', '.join(rows)}), e.t)"
+
+
+def found_in(index: Index) -> str:
+    """SQL over `text` and `ws`: array of struct(label, score) of the templates that some line or run of words holds to the threshold."""
+    found = f"concat({lines(index)}, {runs(index)})"
+    return f"CASE WHEN arrays_overlap(ws, {index.words}) THEN transform({found}, x -> named_struct('label', x.label, 'score', cast(x.n AS double) / x.of)) ELSE cast(array() AS array<struct<label: string, score: double>>) END"
+
+
+def lines(index: Index) -> str:
+    """SQL over `text`: the templates that a line holds. b is a line's set of words, in the common order."""
+    t = index.template
+    block = f"array_intersect({index.order}, split(lower({words_of('l')}), ' '))"
+    blocks = f"filter(transform(split(text, '\n'), l -> {block}), b -> arrays_overlap(b, {index.words}))"
+    # index entries of a line's words, filtered by length and by what can still follow on both sides, then verified
+    may = f"size(b) >= {t}.need AND least(size({t}.words) - e.i, size(b) - j) >= {t}.need"
+    hits = f"array_distinct(flatten(transform(b, (w, j) -> transform(filter(coalesce(element_at({index.probe}, w), array()), e -> {may}), e -> e.t))))"
+    scored = f"transform(transform({hits}, x -> named_struct('t', x)), e -> named_struct('label', {t}.label, 'n', size(array_intersect({t}.words, b)), 'need', {t}.need, 'of', size({t}.words)))"
+    return f"flatten(transform({blocks}, b -> filter({scored}, x -> x.n >= x.need)))"
+
+
+def runs(index: Index) -> str:
+    """SQL over `ws`: the templates that a run of words holds, each run as long as the template, wherever lines end.
 
     Such a run has an index word. All runs around it that the template's length allows are first judged as one stretch.
     """
-    t = f"element_at({table}, e.t + 1)"
+    t = index.template
     start = f"greatest(1, p - {t}.len + 1)"
     stretch = f"size(array_intersect({t}.words, slice(ws, {start}, p - {start} + {t}.len))) >= {t}.need"
     best = f"array_max(transform(sequence({start}, p), s -> size(array_intersect({t}.words, slice(ws, s, {t}.len)))))"
-    near = f"transform(filter(element_at({probe}, element_at(ws, p)), e -> {stretch}), e -> named_struct('label', {t}.label, 'n', {best}, 'need', {t}.need, 'of', size({t}.words)))"
-    places = f"filter(transform(ws, (w, i) -> if(map_contains_key({probe}, w), i + 1, 0)), p -> p > 0)"
-    bound = f"array(split(lower({words_of('text')}), ' '))"  # evaluated once
-    return f"flatten(transform({bound}, ws -> filter(flatten(transform({places}, p -> {near})), x -> x.n >= x.need)))"
+    near = f"transform(filter(element_at({index.probe}, element_at(ws, p)), e -> {stretch}), e -> named_struct('label', {t}.label, 'n', {best}, 'need', {t}.need, 'of', size({t}.words)))"
+    places = f"filter(transform(ws, (w, i) -> if(array_contains({index.words}, w), i + 1, 0)), p -> p > 0)"
+    return f"filter(flatten(transform({places}, p -> {near})), x -> x.n >= x.need)"
 
 
 def starts_of(phrase: str) -> str:
-    """SQL over `words`: the numbers of the words at which the phrase stands, in order."""
-    p = _S(rf"(?i)(?<![^\x20]){phrase}(?![^\x20])")
-    n = len(phrase.split())
-    gaps = f"split(words, {p}, -1)"
+    """SQL over `low`, the words in lower case with one space around each: the numbers of the words at which the phrase stands, in order."""
+    p, n = _S(f" {phrase} "), len(phrase.split())
+    gaps = f"split(low, {_S(f' {phrase}(?= )')}, -1)"
     count = "cast(char_length(g) - char_length(replace(g, ' ', '')) AS bigint)"
-    # a gap between two places holds one space more than words, the first gap as many spaces as words
+    # a gap before a place holds as many spaces as words, as each word has one before it
     state = "struct<pos: bigint, out: array<bigint>>"
-    step = f"named_struct('pos', acc.pos + {count}, 'out', concat(acc.out, array(acc.pos + {count})))"
+    step = f"named_struct('pos', acc.pos + {count} + {n}L, 'out', concat(acc.out, array(acc.pos + {count})))"
     walk = f"aggregate(slice({gaps}, 1, size({gaps}) - 1), cast(named_struct('pos', 0L, 'out', cast(array() AS array<bigint>)) AS {state}), (acc, g) -> cast({step} AS {state}), acc -> acc.out)"
-    # each place before adds its words less the one space that the next gap has too many
-    return f"CASE WHEN rlike(words, {p}) THEN transform({walk}, (s, i) -> s + i * {n - 1}L) ELSE cast(array() AS array<bigint>) END"
+    return f"CASE WHEN contains(low, {p}) THEN {walk} ELSE cast(array() AS array<bigint>) END"
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -116,10 +122,10 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     long as the template, that reaches the threshold, else 0. Null and empty texts have no words. Each row is judged by itself, so null and repeated
     ids are rows like others. Columns other than doc_id and text are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.expr(f"lower({words_of('text')})")).withColumn("ws", F.split("words", " "))
     freq = frequencies(docs, sorted({w for _, t in templates for w in t.split()}))
-    rows = docs.select("doc_id", F.expr(words_of("text")).alias("words"), F.expr(contained(templates, threshold, freq)).alias("found"))
-    rows = rows.select("doc_id", F.expr("cast(if(words = '', 0, char_length(words) - char_length(replace(words, ' ', '')) + 1) AS bigint)").alias("n_words"), *[F.expr(starts_of(p)).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)], "found")
+    rows = docs.select("doc_id", F.concat(F.lit(" "), "words", F.lit(" ")).alias("low"), F.when(F.col("words") == "", 0).otherwise(F.size("ws")).cast("long").alias("n_words"), F.expr(found_in(Index(templates, threshold, freq))).alias("found"))
+    rows = rows.select("doc_id", "n_words", *[F.expr(starts_of(p)).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)], "found")
     own = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
     rows = rows.select("doc_id", "n_words", F.concat(*[f"p{i}" for i in range(len(PHRASES))]).alias("starts"), own.alias("own"), "found")
     labels = F.array_sort(F.array_union("own", F.col("found.label")))
