@@ -11,8 +11,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark deletes the shuffle files of a query with its end, rather than when the driver happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a scratch table is written: Spark deletes the query's shuffle files with its end, rather than when the driver
+#: happens to collect garbage, and batches for Python are small, so that long texts don't fill the memory beside the heap.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _FOLDERS: dict[str, str] = {}
 _TABLES: list[str] = []  # paths of saved tables, in order
 
@@ -58,12 +59,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are deleted with its end, so that steps don't add up on the executors' disks.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _TABLES.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
