@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import discard, only_kept, saved, shared_dir
 
-__all__ = ["SPACE", "WORD", "discard", "free_names", "one_row_each", "only_kept", "saved", "shared_dir", "slices", "small", "spread_join", "unit"]
+__all__ = ["SPACE", "WORD", "discard", "free_names", "large_keys", "one_row_each", "only_kept", "saved", "shared_dir", "slices", "small", "spread", "spread_join", "tidy", "unit"]
 
 #: A group is cut into parts beyond so many rows, and beyond a thousandth of all rows.
 LARGE = 100_000
@@ -27,6 +30,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def tidy() -> None:
+    """Give freed memory back to the machine: a worker is kept after its task, idle, while other stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A saved table, marked for broadcast only if it was counted to have at most so many rows; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -67,19 +78,29 @@ def one_row_each(docs: DataFrame, keys: Sequence[Column], kept: DataFrame) -> Da
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, by: str, large: int = LARGE) -> DataFrame:
-    """rows with the one row of their group, without its `size`: how many of the rows it has. groups: a saved table.
+def large_keys(sizes: DataFrame, key: str, size: str, large: int = LARGE) -> DataFrame | None:
+    """key and _parts of the keys with more rows than `large` and than a thousandth of all: into how many parts they go. None if there are none.
 
-    Rows of a large group are dealt to parts by a hash of the column `by`, and the group's row goes to each, so no task gets more than a part. Under a
-    thousand groups can be large, so they may be broadcast to find them.
+    Under a thousand keys can be so large, so they are marked for broadcast.
     """
-    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    total, largest = sizes.agg(F.sum(size), F.max(size)).first()
     most = max(large, (total or 0) // 1000)
     if (largest or 0) <= most:
-        return rows.join(groups.drop(size), key)
-    parts = F.broadcast(groups.filter(F.col(size) > most).select(key, F.ceil(F.col(size) / most).alias("_parts")))
+        return None
+    return F.broadcast(saved(sizes.filter(F.col(size) > most).select(key, F.ceil(F.col(size) / most).alias("_parts")).coalesce(1), "large-keys"))
+
+
+def spread(rows: DataFrame, groups: DataFrame, key: str, by: str, parts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column _part, to be joined by key and _part: rows of a large key are dealt to its parts by a hash of the column `by`, and what the
+    groups have of the key goes to each. So no task gets more rows than a part has."""
+    if parts is None:
+        return tuple(x.withColumn("_part", F.lit(0).cast("long")) for x in (rows, groups))
     part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0))
-    rows = rows.join(parts, key, "left").withColumn("_part", part).drop("_parts")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
-    groups = groups.join(parts, key, "left").withColumn("_part", each).drop("_parts", size)
+    return rows.join(parts, key, "left").withColumn("_part", part).drop("_parts"), groups.join(parts, key, "left").withColumn("_part", each).drop("_parts")
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, by: str, large: int = LARGE) -> DataFrame:
+    """rows with the one row of their group, without its `size`: how many of the rows it has. groups: a saved table."""
+    rows, groups = spread(rows, groups.drop(size), key, by, large_keys(groups.select(key, size), key, size, large))
     return rows.join(groups, [key, "_part"]).drop("_part")

@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import one_row_each, saved, slices, spread_join
+from tidemark.llm.common import large_keys, one_row_each, saved, slices, spread, spread_join, tidy
 from tidemark.llm.components import components
 from tidemark.llm.simhash import fingerprint, links
 from tidemark.llm.substring import cut, hashed
 
 BANDS, ROWS = 20, 5
 TURNS, HUBS = 3, 32  # turns in which nodes are compared to so many hubs of a shingle, before the rest meet
+POSTINGS = 2000  # of a shingle, and a thousandth of all, beyond which they are dealt to several tasks
 EPS = 1e-9
 BLOCK = 4096  # shingles whose hashes are taken at once
 _SALT, _FACTOR = (np.random.default_rng(6).integers(0, 2**63, (2, BANDS * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)).reshape(2, 1, -1)
@@ -81,6 +82,8 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 fps.append(fingerprint(text, words))
                 keys.append(band_keys(least_hashes(shingles)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "node", "n", "fp", "keys"])
+        b = None
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, node long, n long, fp long, keys array<long>")
 
@@ -92,6 +95,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for b in slices(batches):
             sets = [shingle_set((t or "").encode(), words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+        b = None
+        tidy()
 
     texts = docs.join(wanted.select(F.col("doc_id").alias("_wanted")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
     found = texts.mapInArrow(run, "node long, shingles array<long>")
@@ -145,12 +150,13 @@ def united(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, joined: DataFr
         return None if more.isEmpty() else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     posts = saved(postings(buckets, nodes, sets, joined, least), "postings")
+    parts = large_keys(posts.groupBy("s").agg(F.count(F.lit(1)).alias("k")), "s", "k", POSTINGS)
     for turn in range(TURNS):
-        now = with_links(to_hubs(posts, joined, turn, least), "alike-hubs")
+        now = with_links(to_hubs(posts, joined, turn, least, parts), "alike-hubs")
         if now is None:
             break
         joined = now
-    now = with_links(apart(posts, joined, least), "alike-apart")
+    now = with_links(apart(posts, joined, least, parts), "alike-apart")
     return joined if now is None else now
 
 
@@ -182,19 +188,27 @@ def may_be_alike(least: float) -> Column:
     return (F.col("a.component") != F.col("b.component")) & sizes & (rest >= (F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - F.lit(EPS))
 
 
-def to_hubs(posts: DataFrame, joined: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs (a, b) of each node and up to HUBS hubs of each of its prefix shingles, drawn anew each turn: HUBS times the postings at most."""
+def to_hubs(posts: DataFrame, joined: DataFrame, turn: int, least: float, parts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of each node and up to HUBS hubs of each of its prefix shingles, drawn anew each turn: HUBS times the postings at most.
+
+    parts: the frequent shingles and the parts that their postings are dealt to.
+    """
     of = placed(posts, joined)
     central = F.col("at") * F.lit(1 + least) <= F.col("n") * F.lit(1 - least)  # few shingles of its own: it may be like others of its size
     hub = F.struct("node", "n", "at", "component")
     drawn = [F.max_by(hub, F.struct(central, F.xxhash64("node", "s", F.lit(turn * HUBS + i)))) for i in range(HUBS)]
     hubs = of.groupBy("s").agg(F.array_distinct(F.array(*drawn)).alias("hubs"), F.min("component").alias("x"), F.max("component").alias("y"))
-    hubs = hubs.filter("x < y").select("s", F.inline("hubs"))
-    pairs = of.alias("a").join(hubs.alias("b"), (F.col("a.s") == F.col("b.s")) & may_be_alike(least))
+    mine, hubs = spread(of, hubs.filter("x < y").select("s", F.inline("hubs")), "s", "node", parts)
+    pairs = mine.alias("a").join(hubs.alias("b"), met() & may_be_alike(least))
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
-def apart(posts: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+def met() -> Column:
+    """Whether the aliases a and b are of one shingle and part."""
+    return (F.col("a.s") == F.col("b.s")) & (F.col("a._part") == F.col("b._part"))
+
+
+def apart(posts: DataFrame, joined: DataFrame, least: float, parts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of nodes that are still in different components and may be alike, each once.
 
     Of each shingle, the nodes outside its largest component meet all of its nodes, so a group that has been united isn't met with itself.
@@ -202,9 +216,11 @@ def apart(posts: DataFrame, joined: DataFrame, least: float) -> DataFrame:
     of = placed(posts, joined)
     counts = of.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("s", "main")
-    of = of.join(main, "s")
-    a, b = of.filter("component <> main").alias("a"), of.alias("b")
-    on = (F.col("a.s") == F.col("b.s")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & may_be_alike(least)
+    of, main = spread(of, main, "s", "node", parts)
+    of = saved(of.join(main, ["s", "_part"]).drop("_part"), "postings-apart")
+    every, outside = spread(of, of.filter("component <> main"), "s", "node", parts)
+    a, b = outside.alias("a"), every.alias("b")
+    on = met() & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & may_be_alike(least)
     return a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
