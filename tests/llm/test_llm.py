@@ -213,8 +213,10 @@ def test_packing_by_tokenizers(docs):
     assert next(r for r in got if r.doc_id == 4).ids_crc32 == zlib.crc32(b"\0\0\0\0")
 
 
-def test_near_copies_of_a_template(spark):
-    """Edits of one text, many of them alike at some 0.6 to 0.9: hubs and the prefix join find the components of all pairs."""
+@pytest.mark.parametrize("postings", [near_copies.POSTINGS, 10])
+def test_near_copies_of_a_template(spark, monkeypatch, postings):
+    """Edits of one text, many of them alike at some 0.6 to 0.9: hubs and the prefix join find the components of all pairs, also with frequent shingles in parts."""
+    monkeypatch.setattr(near_copies, "POSTINGS", postings)
     r = np.random.default_rng(12)
     base = [f"t{i}" for i in range(120)]
     rows = []
@@ -234,7 +236,8 @@ def test_near_copies_of_a_template(spark):
     assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == dict(enumerate(group))
 
 
-def test_prefix_join_by_all_pairs(spark):
+@pytest.mark.parametrize("postings", [near_copies.POSTINGS, 5])
+def test_prefix_join_by_all_pairs(spark, postings):
     """The prefix join alone finds every pair of different components at 0.8 or more."""
     r = np.random.default_rng(13)
     texts = [" ".join(f"w{x}" for x in r.integers(0, 3, 12)) for _ in range(80)]
@@ -242,7 +245,8 @@ def test_prefix_join_by_all_pairs(spark):
     table = spark.createDataFrame([(k, [int(x) for x in v.view(np.int64)]) for k, v in sets.items()], "node long, shingles array<long>")
     nodes, buckets = table.selectExpr("node", "cast(size(shingles) as long) as n"), table.selectExpr("1L as key", "node")
     none = spark.createDataFrame([], "node long, component long")
-    found = near_copies.apart(near_copies.postings(buckets, nodes, table, none, 0.8), none, 0.8)
+    posts = near_copies.postings(buckets, nodes, table, none, 0.8)
+    found = near_copies.apart(posts, none, 0.8, common.large_keys(posts.groupBy("s").count(), "s", "count", postings))
     got = {(x.a, x.b) for x in near_copies.compared(found, table, 0.8).filter("alike").collect()}
     of = {k: set(v.tolist()) for k, v in sets.items()}
     assert got == {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])} and got

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, saved, slices
+from tidemark.llm.common import discard, saved, slices, tidy
 
 KEY = b"surrogates"  # a parameter; keep the real one secret
 GROW, MOST = 6, 48  # attempts before a surrogate gets a letter longer, for each letter; attempts at all
@@ -247,6 +247,7 @@ def entities(texts: DataFrame) -> DataFrame:
         for b in slices(batches, 4096):
             found = sorted(set().union(*(entities_of(t) for t in b.column(0).to_pylist() if t)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "canon"])
+        tidy()
 
     return texts.mapInArrow(run, "kind string, canon string").distinct()
 

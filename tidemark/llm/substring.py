@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, saved
+from tidemark.llm.common import discard, saved, tidy
 
 WINDOW, K, STEP = 20, 5, 12
 HOT = 65_536  # batches that hold a prefix before it is too frequent for one subtree
@@ -168,6 +168,8 @@ def in_batches(schema: str, rows: Iterator[tuple], many: int = 1024) -> Iterator
     rows = iter(rows)
     while part := list(islice(rows, many)):
         yield _batch(schema, part)
+    rows = part = None
+    tidy()
 
 
 def bitmap(flags: np.ndarray) -> bytes:

@@ -9,7 +9,6 @@ window of a text answers for its label. All windows of every text are scored, in
 from __future__ import annotations
 
 import re
-import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, tidy
 
 WORDS, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 16, 16, 12
@@ -296,17 +295,6 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer(key: str, net: Network) -> Scorer:
-    """The scorer of one trained network in this Python worker, which tasks share."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(net)
-    return _SCORERS[key]
-
-
 def sample(docs: DataFrame, labels: DataFrame, learn) -> list:
     """(text, toxic) of a bounded sample of the labelled rows that learn (an expression over doc_id) holds for.
 
@@ -339,12 +327,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = sample(docs, labels, ~held_out())
-    sent, key = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows])), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = scorer(key, sent.value).scores
+        scorer = Scorer(sent.value)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(batch.column(2).to_pylist()))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scorer.scores(batch.column(2).to_pylist()))], ["doc_id", "held_out", "score"])
+        scorer = batch = None
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -352,15 +342,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, with their columns; each row is judged by itself, in the task that reads it."""
+    """The documents that aren't predicted toxic, with their columns, of whatever names; each row is judged by itself, in the task that reads it.
+
+    Null and empty texts score 0 and stay. Null ids and repeated rows are rows like others. With no labels to learn from, nothing goes. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     rows = sample(docs, labels, ~held_out())
-    sent, key = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows])), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = scorer(key, sent.value).scores
+        scorer = Scorer(sent.value)
         for batch in slices(batches):
-            yield batch.filter(pa.array(scores(batch.column(at).to_pylist()) < THRESHOLD))
+            yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < THRESHOLD))
+        scorer = batch = None
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
