@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark import plans, sources
 from tidemark.operators import access, bands, loading, lots, serial, versions
+from tidemark.sources.catalog import Catalog
 from tidemark.streaming import feeds
 
 
@@ -27,6 +28,39 @@ def test_ranges(spark):
     assert got([1, 0], limit=2) == [10, 11]
 
 
+def test_seed_files(spark, tmp_path):
+    (tmp_path / "seed.txt").write_text("1\tAlpha\t2.5\n2\t\t-1\n")
+    assert [tuple(r) for r in sources.read_flat(spark, str(tmp_path / "seed.txt"), "id int, name string, rate double").collect()] == [(1, "Alpha", 2.5), (2, None, -1.0)]
+    (tmp_path / "bad.txt").write_text("x\tAlpha\t2.5\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        sources.read_flat(spark, str(tmp_path / "bad.txt"), "id int, name string, rate double").collect()
+
+
+def test_pulled_scan(spark):
+    df = spark.range(1000).repartition(8)
+    rows = access.pull(df, ["id"], [10], [900])
+    assert [next(rows).id for _ in range(5)] == [10, 11, 12, 13, 14]
+    assert [r.id for r in access.pull(df, ["id"], [3], [-1], reverse=True)] == [3, 2, 1, 0]
+
+
+def test_catalog(spark, tmp_path):
+    c = Catalog(str(tmp_path / "c")).create(spark)
+    t = c.create_table(spark, "t", "a long, b string", ["a"])
+    c.create_index(spark, "b_once", "t", ["b"], unique=True)
+    with pytest.raises(ValueError):
+        c.create_table(spark, "t", "a long", ["a"])
+    with pytest.raises(KeyError):
+        c.create_index(spark, "x", "nowhere", ["a"])
+    rows = lambda *x: spark.createDataFrame(list(x), "a long, b string, op string")
+    assert t.commit(spark, rows((1, "x", "I"), (2, "y", "I")), 0) == versions.Result.OK
+    assert c.table(spark, "t").commit(spark, rows((3, "x", "I")), 1) == versions.Result.DUPLICATE_KEY
+    assert [tuple(r) for r in c.build(spark, "b_once").orderBy("b").collect()] == [(1, "x"), (2, "y")]
+    c.drop(spark, "t")
+    with pytest.raises(KeyError):
+        c.table(spark, "t")
+    assert c.entries().size(spark) == 0 and c.entries().at(spark, 2).count() == 3  # as of an earlier stamp
+
+
 def test_snapshots(log):
     at = lambda ts: {r.key: r.value for r in versions.snapshot(log, ["key"], ts).collect()}
     assert at(1) == {"a": "1", "b": "1"} and at(4) == {"a": "2"} and at(9) == {"a": "2", "b": "9", "c": "1"} and at(0) == {}

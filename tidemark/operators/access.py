@@ -7,10 +7,10 @@ statistics (a comparison of structs isn't pushed down).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import saved
@@ -37,6 +37,11 @@ def scan(df: DataFrame, cols: Sequence[str], start=None, end=None, reverse: bool
     return out if limit is None else out.limit(limit)
 
 
+def pull(df: DataFrame, cols: Sequence[str], start=None, end=None, reverse: bool = False) -> Iterator[Row]:
+    """A range in key order, row by row, for a caller who may stop at any time: partitions come to the driver one at a time, as they are asked for."""
+    return scan(df, cols, start, end, reverse).toLocalIterator()
+
+
 def multi_get(spark: SparkSession, df: DataFrame, key: str, keys: Sequence, kind: str = "long") -> DataFrame:
     """One row for each requested key, in request order (column pos); a miss has null values.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import loading, versions
+from tidemark.operators import access, loading, versions
 from tidemark.plans.registry import query
 from tidemark.sources import table
+from tidemark.sources.catalog import Catalog
 from tidemark.sources.scratch import new_path, saved
 
 
@@ -123,3 +124,42 @@ def read_modify_write_log(spark, d):
     txn.write(saved(txn.read().filter("priority = '1-URGENT'").withColumn("cents", F.col("cents") + 100), "changed"), "U")
     txn.commit()
     return t.at(spark).select("o_orderkey", "cents", "commit_ts")
+
+
+def _catalog(spark, d):
+    c = Catalog(new_path(spark, "catalog")).create(spark)
+    t = c.create_table(spark, "orders", "o_orderkey long, o_custkey long, cents long", ["o_orderkey"])
+    c.create_index(spark, "by_customer", "orders", ["o_custkey", "o_orderkey"])
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", fn.cents(F.col("o_totalprice")).alias("cents"))
+    t.commit(spark, rows.withColumn("op", F.lit("I")), 0)
+    return c
+
+
+@query("""SELECT * FROM (VALUES ('orders', 'table', NULL, 'o_orderkey'), ('orders.primary', 'primary', 'orders', 'o_orderkey'), ('by_customer', 'secondary', 'orders', 'o_custkey,o_orderkey')) t(name, kind, "of", columns)""")
+def catalog_entries(spark, d):
+    """What is defined: a table, its primary index and a secondary one."""
+    return _catalog(spark, d).entries().at(spark).select("name", "kind", "of", "columns")
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE (o_custkey > 10 OR (o_custkey = 10 AND o_orderkey >= 50)) AND o_custkey < 20""")
+def index_range(spark, d):
+    """A range of a secondary index, read from its sorted copy."""
+    copy = _catalog(spark, d).build(spark, "by_customer")
+    return access.scan(copy, ["o_custkey", "o_orderkey"], [10, 50], [20, -1]).select("o_custkey", "o_orderkey", "cents")
+
+
+@query("""WITH b AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS place FROM customer WHERE c_mktsegment = 'BUILDING'), n AS (SELECT max(o_orderkey) AS top FROM orders), s AS (SELECT count(*) AS parts FROM part),
+l AS (SELECT c_custkey, place, k, (c_custkey * 7 + k * 131) % parts AS p_partkey, c_custkey % 10 + k AS qty FROM b, s, range(1, 6) t(k)), bad AS (SELECT DISTINCT c_custkey FROM l JOIN part USING (p_partkey) WHERE p_brand = 'Brand#1')
+SELECT top + dense_rank() OVER (ORDER BY place) AS o_orderkey, c_custkey, k AS line, p_partkey, qty, CAST(round(qty * p_retailprice * 100) AS BIGINT) AS amount_cents
+FROM l JOIN part USING (p_partkey), n WHERE c_custkey NOT IN (SELECT c_custkey FROM bad)""")
+def new_order_insert(spark, d):
+    """New orders of five lines: an order with a wrong item (here a brand) is rolled back as a whole, the rest get the next numbers in turn, and priced lines."""
+    customers, part = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey"), table(spark, d, "part")
+    n_parts = part.count()
+    lines = customers.select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("line")).withColumn("p_partkey", (F.col("c_custkey") * 7 + F.col("line") * 131) % n_parts)
+    lines = lines.join(part.select("p_partkey", "p_brand", "p_retailprice"), "p_partkey")
+    bad = lines.filter("p_brand = 'Brand#1'").select("c_custkey").distinct()
+    orders = access.ranked(customers.join(bad, "c_custkey", "left_anti"), [F.col("c_custkey").asc()])
+    top = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    qty = F.col("c_custkey") % 10 + F.col("line")
+    return lines.join(orders, "c_custkey").select((F.col("pos") + top).alias("o_orderkey"), "c_custkey", "line", "p_partkey", qty.alias("qty"), fn.cents(qty * F.col("p_retailprice")).alias("amount_cents"))
