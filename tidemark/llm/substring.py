@@ -182,10 +182,15 @@ def flags(bits: bytes, n: int) -> np.ndarray:
 
 def tell_prefixes(corpus: Iterator[pa.RecordBatch], bits: int, window: int, k: int) -> Iterator[pa.RecordBatch]:
     """PREFIXES of each batch: by bucket its distinct prefixes, and which of them it holds several times."""
-    for src, _, dids, sizes, z in rows_of(corpus):
-        s = Suffixes(dids, sizes, z, window, hashes=True)
-        p, _, count = prefixes(s, bits, k)
-        yield from in_batches(PREFIXES, ((bucket, src, p[x:y].astype("<u4").tobytes(), bitmap(count[x:y] > 1)) for bucket, x, y in runs(p >> np.uint64(32))))
+
+    def out() -> Iterator[tuple]:
+        for src, _, dids, sizes, z in rows_of(corpus):
+            s = Suffixes(dids, sizes, z, window, hashes=True)
+            p, _, count = prefixes(s, bits, k)
+            for bucket, x, y in runs(p >> np.uint64(32)):
+                yield bucket, src, p[x:y].astype("<u4").tobytes(), bitmap(count[x:y] > 1)
+
+    return in_batches(PREFIXES, out())
 
 
 def count_prefixes(told: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
