@@ -101,6 +101,16 @@ def test_simhash_links(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("f", [lambda x: simhash.links(x, 4), lambda x: near_copies.with_least(x.selectExpr("explode(array_repeat(fp, 99)) as key", "fp as node"))], ids=["links", "heads"])
+def test_keys_made_of_rows_are_not_broadcast(spark, tmp_path, f):
+    """A table of few bytes whose rows become many: an estimate by the table would have the driver gather them all."""
+    spark.range(1000).selectExpr("id * 7919 as fp").write.parquet(str(tmp_path / "t"))
+    out = f(spark.read.parquet(str(tmp_path / "t")))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fingerprints_by_counting(docs):
     for _, t, _ in ROWS:
         ws = (t or "").encode().lower().split()

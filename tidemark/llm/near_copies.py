@@ -225,9 +225,9 @@ def apart(posts: DataFrame, joined: DataFrame, least: float, parts: DataFrame |
 
 
 def with_least(members: DataFrame) -> DataFrame:
-    """key, node and head, the least node of the key; keys of one node go."""
+    """key, node and head, the least node of the key; keys of one node go. Members may come out of arrays, whose lengths Spark doesn't know: no broadcast."""
     heads = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("most")).filter("head < most").select("key", "head")
-    return members.join(heads, "key").select("key", "node", "head")
+    return members.join(heads.hint("merge"), "key").select("key", "node", "head")
 
 
 def keep_one(docs: DataFrame, words: int = 5, distance: int = 4, least: float = 0.8) -> DataFrame:

@@ -86,13 +86,16 @@ def told_at(x: Column, count: int) -> Column:
 
 
 def links(nodes: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints at up to `distance` differing bits, each once. nodes: fp."""
+    """Pairs (a, b) of distinct fingerprints at up to `distance` differing bits, each once. nodes: fp.
+
+    Spark takes the keys to be no larger than the nodes they are made of, 64 times too small, and would send them to the driver for broadcast; so the join is told to sort.
+    """
     count = (distance + 2) // 2  # the fewest segments of which one differs by at most one bit
     keys = nodes.select("fp", F.inline(variants(count)))
     a, b = keys.alias("a"), keys.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     on = (F.col("a.v") == F.col("b.v")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= distance) & (told_at(x, count) == F.col("a.v"))
-    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
