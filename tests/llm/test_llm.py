@@ -1,6 +1,7 @@
 """Each operator on a small table with nulls, empty and long texts, ties, repeated rows and odd columns, against brute force or its SQL."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -111,6 +112,21 @@ def test_keys_made_of_rows_are_not_broadcast(spark, tmp_path, f):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_driver_does_not_train(docs, monkeypatch):
+    """The network is trained where the task runs, and is the one that the sample gives."""
+    here, real = os.getpid(), toxicity.train
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != here
+        return real(texts, labels)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    net = toxicity.fitted(docs, _labels(docs))
+    rows = sorted((r.doc_id, r.text, r["_toxic"]) for r in toxicity.sample(docs, _labels(docs), ~toxicity.held_out()).collect())
+    want = real([r[1] for r in rows], [r[2] for r in rows])
+    assert len(rows) > 1 and net.vocab == want.vocab and all(np.allclose(net.p[k], v, atol=1e-4) for k, v in want.p.items())
+
+
 def test_fingerprints_by_counting(docs):
     for _, t, _ in ROWS:
         ws = (t or "").encode().lower().split()

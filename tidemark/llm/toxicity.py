@@ -8,6 +8,7 @@ window of a text answers for its label. All windows of every text are scored, in
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
@@ -295,8 +296,8 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn) -> list:
-    """(text, toxic) of a bounded sample of the labelled rows that learn (an expression over doc_id) holds for.
+def sample(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
+    """doc_id, text and _toxic of a bounded sample of the labelled rows that learn (an expression over doc_id) holds for.
 
     The sample's ids are few by the parameter, so they are broadcast; texts aren't moved. Ids are drawn first: those that are drawn but have no text, or one
     of over SAMPLE_CHARS characters, fall out. A label given twice counts as toxic if one of the two is.
@@ -309,8 +310,22 @@ def sample(docs: DataFrame, labels: DataFrame, learn) -> list:
         ids = part if ids is None else ids.unionByName(part)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     texts = docs.select("doc_id", "text").filter(F.char_length("text").between(1, SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").dropDuplicates(["doc_id"])
-    return sorted(((r.doc_id, r.text, r["_toxic"]) for r in rows.toLocalIterator()))
+    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").dropDuplicates(["doc_id"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Network:
+    """The network that the sample teaches. One task trains it, so that the driver holds neither texts nor what training takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        net = train([r[1] for r in rows], [r[2] for r in rows])
+        out = pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["network"])
+        del rows, net
+        tidy()
+        yield out
+
+    got = sample(docs, labels, ~held_out()).coalesce(1).mapInArrow(run, "network binary").collect()
+    return pickle.loads(got[0].network) if got else train([], [])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -325,9 +340,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are scored like others. With no labels to learn from, every text with words scores the starting bias. An empty table gives no rows.
     Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = sample(docs, labels, ~held_out())
-    sent = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -346,9 +359,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts score 0 and stay. Null ids and repeated rows are rows like others. With no labels to learn from, nothing goes. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = sample(docs, labels, ~held_out())
-    sent = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
